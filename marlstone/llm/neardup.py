@@ -88,8 +88,9 @@ def _sets(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Reco
             heads = ends - n
             a, b = mix(words), mix(words + np.uint64(0x5851F42D4C957F2D))
             key = mix(np.add.reduceat(a, heads))
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (b % np.uint64(50)), heads)
-            more = np.bitwise_xor.reduceat(np.uint64(1) << ((b >> np.uint64(32)) % np.uint64(32)), heads)
+            place = b % np.uint64(82)
+            bits = np.bitwise_xor.reduceat(np.where(place < 50, np.uint64(1) << (place % np.uint64(50)), np.uint64(0)), heads)
+            more = np.bitwise_xor.reduceat(np.where(place >= 50, np.uint64(1) << (place - np.minimum(place, np.uint64(50))), np.uint64(0)), heads)
             kb = bits | (size_code(n) << np.uint64(50)) | ((key >> np.uint64(32) & np.uint64(0xFF)) << np.uint64(56))
             blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(np.concatenate([[0], ends * 5]).astype(np.int64)), pa.py_buffer(pack(words))]).cast(pa.binary())
             at = pa.array(rows + first)
