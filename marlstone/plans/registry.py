@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.plans import orphan_queries
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+for _module in (orphan_queries,):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
 FLAGSHIP = "stratified_sample_join_back"
