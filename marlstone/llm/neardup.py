@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
@@ -128,6 +129,25 @@ def cell_counts(sets: DataFrame) -> np.ndarray:
     return np.minimum(out, (1 << 43) - 1)
 
 
+def only_classes(df: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of df whose class (kb, kl) is in named; both sides' rows meet in a semi join.
+
+    Before it moves, df is thinned by a bitmap of 2**CELL_BITS bits over the hashes of the named classes.
+    """
+    cells = 1 << CELL_BITS
+    got = named.select(F.pmod("kl", F.lit(cells)).cast("int").alias("c")).distinct().toArrow()
+    bits = np.zeros(cells, dtype=bool)
+    bits[got.column("c").to_numpy()] = True
+    sent = df.sparkSession.sparkContext.broadcast(np.packbits(bits))  # 128 kB
+
+    @F.pandas_udf("boolean")
+    def maybe(kl: pd.Series) -> pd.Series:
+        c = kl.to_numpy() % cells
+        return pd.Series((sent.value[c >> 3] >> (7 - (c & 7)) & 1).astype(bool))
+
+    return df.where(maybe("kl")).join(named, ["kb", "kl"], "left_semi")
+
+
 class Plan:
     """The integer bounds of one threshold."""
 
@@ -373,8 +393,9 @@ def class_pairs(sets: DataFrame, threshold: float, min_words: int) -> DataFrame:
     few = found.where("task is null").select("kb1", "kl1", "kb2", "kl2")
     work = found.where("task is not null").repartition("task").select("x", "y").mapInArrow(lambda it: _work(it, plan), "kb1 long, kl1 long, kb2 long, kl2 long")
     pairs = few.unionByName(work).distinct()
-    named = pairs.select(F.struct("kb1", "kl1").alias("c")).union(pairs.select(F.struct("kb2", "kl2"))).distinct().select("c.kb1", "c.kl1")
-    words = sets.select("kb", "kl", "words").join(named, (F.col("kb") == F.col("kb1")) & (F.col("kl") == F.col("kl1")), "left_semi").groupBy("kb", "kl").agg(F.first("words").alias("words"))
+    pairs = cut(pairs)
+    named = pairs.select(F.col("kb1").alias("kb"), F.col("kl1").alias("kl")).union(pairs.select("kb2", "kl2")).distinct()
+    words = only_classes(sets.select("kb", "kl", "words"), named).groupBy("kb", "kl").agg(F.first("words").alias("words"))
     one = words.select(F.col("kb").alias("kb1"), F.col("kl").alias("kl1"), F.col("words").alias("x"))
     two = words.select(F.col("kb").alias("kb2"), F.col("kl").alias("kl2"), F.col("words").alias("y"))
     both = pairs.join(one, ["kb1", "kl1"]).join(two, ["kb2", "kl2"]).select("kb1", "kl1", "kb2", "kl2", "x", "y")
@@ -393,7 +414,7 @@ def similar_pairs(df: DataFrame, id_col: str, doc_col: str, text_col: str, thres
     members = sets.where("did is not null").select("sid", "did", "kb", "kl")
     copied = sets.groupBy("kb", "kl").count().where("count > 1").select("kb", "kl")
     wanted = near.select(F.col("kb1").alias("kb"), F.col("kl1").alias("kl")).union(near.select("kb2", "kl2")).union(copied).distinct()
-    members = members.join(wanted, ["kb", "kl"], "left_semi").distinct()
+    members = only_classes(members, cut(wanted)).distinct()
     a = members.select(F.col("kb").alias("kb1"), F.col("kl").alias("kl1"), F.col("sid").alias("sid1"), F.col("did").alias("did1"))
     b = members.select(F.col("kb").alias("kb2"), F.col("kl").alias("kl2"), F.col("sid").alias("sid2"), F.col("did").alias("did2"))
     apart = near.join(a, ["kb1", "kl1"]).join(b, ["kb2", "kl2"]).where("did1 <> did2 and sid1 <> sid2").select("sid1", "sid2", "similarity")
