@@ -388,7 +388,8 @@ def class_pairs(sets: DataFrame, threshold: float, min_words: int) -> DataFrame:
     counts = spark.sparkContext.broadcast(cell_counts(sets))  # 2**CELL_BITS numbers, 8 MB at any scale
     buckets = max(12, total // 10_000)
     blobs = sets.select("kb", "kl", "sk", "words").mapInArrow(lambda it: _emit(it, counts, total, plan, buckets), "bucket int, blob binary")
-    found = blobs.repartition("bucket").mapInArrow(lambda it: _compare(it, plan), FOUND)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)  # some 25 MB each
+    found = blobs.repartition(tasks, "bucket").mapInArrow(lambda it: _compare(it, plan), FOUND)
     found = cut(found)  # candidates that passed the sketches, and the blocks of the largest buckets
     few = found.where("task is null").select("kb1", "kl1", "kb2", "kl2")
     work = found.where("task is not null").repartition("task").select("x", "y").mapInArrow(lambda it: _work(it, plan), "kb1 long, kl1 long, kb2 long, kl2 long")

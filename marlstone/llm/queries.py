@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marlstone.llm import leakage, mixing, neardup, quota
+from marlstone.llm import leakage, mixing, neardup, quality, quota
 from marlstone.session import table
 
 
@@ -59,6 +59,14 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p8_stats(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_statistics(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_stats(spark, d).where("text_kind <> 'prose'").select("doc_id", "text_kind")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_plan": p2_plan,
@@ -70,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_uses": p7_uses,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_stats": p8_stats,
 }
 
 _KEY = r"regexp_replace(lower(regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), '[\s\p{{Z}}_\-./]+', '_', 'g')"
