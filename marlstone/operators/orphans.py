@@ -122,7 +122,8 @@ def orphans(references: DataFrame, parents: DataFrame, removals: DataFrame, expe
     count = expected_keys or own.count()
     ranges = max(1, -(-2 * count // RANGE_KEYS))
     every = own.unionByName(gone).unionByName(asked).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int"))
-    bits = every.repartition("part").sortWithinPartitions("part").select("part", "key", "role", "period", "at").mapInArrow(_ranges, "missing_id string, period int, orphan_kind string, arrival long")
+    tasks = max(int(references.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges // 4)
+    bits = every.repartition(tasks, "part").sortWithinPartitions("part").select("part", "key", "role", "period", "at").mapInArrow(_ranges, "missing_id string, period int, orphan_kind string, arrival long")
     bits = bits.withColumnRenamed("period", "slot")
     joined = refs.withColumnRenamed("key", "missing_id").join(bits, ["missing_id", "slot"])
     return joined.where((F.col("orphan_kind") != "late") | (F.col("arrival") > F.col("at"))).select("ref_key", "missing_id", "period", "orphan_kind").distinct()
