@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marlstone.llm import leakage, mixing, neardup, quality, quota
+from marlstone.llm import answers, leakage, mixing, neardup, quality, quota
 from marlstone.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return answers.defects(table(spark, d, "p3_gold_p3v3_new10"))
+
+
 def p2_plan(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "params").select("sample_size_n", "min_per_category").first()
     got = quota.plan(table(spark, d, "corpus_tagged"), table(spark, d, "sample_targets"), p[0], p[1])
@@ -68,6 +72,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_plan": p2_plan,
     "p2_sample": p2_sample,
