@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marlstone.llm import answers, leakage, mixing, neardup, quality, quota
+from marlstone.llm import answers, leakage, matching, mixing, neardup, quality, quota
 from marlstone.session import table
 
 
@@ -38,6 +38,14 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, d, "v_sample_1m_core"), "sentenceID", "sentence").withColumnRenamed("id", "sentence_id")
 
 
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match(table(spark, d, "sec_company_tickers"), table(spark, d, "spy_holdings_15oct"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_matches(spark, d).select("cik", "identifier")
+
+
 def p6_matches(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_passages"))
 
@@ -78,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_sample": p2_sample,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p5_found": p5_found,
+    "p5_matches": p5_matches,
     "p6_found": p6_found,
     "p6_matches": p6_matches,
     "p7_found": p7_found,
