@@ -79,7 +79,7 @@ def split_sentences(p: str) -> list[str]:
     """Sentences of a paragraph; a full stop after an abbreviation, an initial or a number within text ends none."""
     out, start = [], 0
     for m in re.finditer(r"[.!?][\"')\]]*\s+(?=[\"'(\[]?[A-Z0-9])", p):
-        word = re.search(r"([\w.]+)[.!?]", p[start : m.end()].rstrip()[-20:])
+        word = re.search(r"([\w.]+)[.!?][\"')\]]*$", p[start : m.end()].rstrip()[-24:])
         last = (word[1] if word else "").lower()
         if m[0][0] == "." and (last in ABBREVIATIONS or (len(last) == 1 and last.isalpha())):
             continue

@@ -46,7 +46,7 @@ def differs(spark, folder: str, query, sql: str) -> str:
     want = rows_of(columns, cur.fetchall())
     if sorted(df.columns) != sorted(columns):
         return f"columns {sorted(df.columns)} against {sorted(columns)}"
-    if got != want:
+    if list(map(repr, got)) != list(map(repr, want)):
         a, b = [r for r in got if r not in want][:2], [r for r in want if r not in got][:2]
         return f"{len(got)} rows against {len(want)}; only here {a}; only there {b}"
     return ""
