@@ -26,7 +26,7 @@ def validate_sample(sample: DataFrame, corpus: DataFrame, target: int, key: str,
         *(F.count_distinct(c).cast("double").alias(f"s_{i}") for i, c in enumerate((entity, bin_col, year, section))),
     )
     c = corpus.agg(*(F.count_distinct(c).cast("double").alias(f"c_{i}") for i, c in enumerate((entity, bin_col, year, section))))
-    sizes = sample.groupBy(bin_col).count().agg((F.max("count") / F.min("count")).cast("double").alias("imbalance"))
+    sizes = sample.groupBy(bin_col).count().agg(F.try_divide(F.max("count"), F.min("count")).cast("double").alias("imbalance"))
     stray = sample.join(corpus.select(key).distinct(), key, "left_anti").agg(F.count("*").cast("double").alias("stray"))
     one = s.crossJoin(c).crossJoin(sizes).crossJoin(stray)
     row = lambda name, value, ok: F.struct(F.lit(name).alias("check_name"), value.alias("value"), status(ok).alias("status"))
@@ -67,7 +67,7 @@ def quality_score(df: DataFrame, required: Sequence[str], key: str, year: str, y
     """
     n = F.count("*").cast("double")
     one = df.agg(
-        n.alias("n"), *((F.count_if(F.col(c).isNull()) / n).alias(f"r{i}") for i, c in enumerate(required)),
+        n.alias("n"), *(F.try_divide(F.count_if(F.col(c).isNull()), n).alias(f"r{i}") for i, c in enumerate(required)),
         (F.count(key) - F.count_distinct(key)).cast("double").alias("dup"), F.count_if(~F.col(year).between(*years)).cast("double").alias("bad_year"),
         (F.count(hash_col) - F.count_distinct(hash_col)).cast("double").alias("dup_hash"),
         *(F.count_if(~F.lower(F.col(c).cast("string")).isin("true", "false", "0", "1")).cast("double").alias(f"b{i}") for i, c in enumerate(booleans)),
