@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from marlstone.llm.quality import EVERY_FUNCTION_WORD, FUNCTION_WORDS
@@ -337,8 +338,8 @@ def defects(pairs: DataFrame, question_id: str = "question_id", question: str =
     head holds. A null question leaves only what its answer shows by itself. Null ids are left out.
     """
     rows = pairs.select(F.col(question_id).cast("string").alias("question_id"), F.col(question).alias("q"), F.col(answer).alias("a")).where("question_id is not null")
-    judged = rows.mapInArrow(_judged, "question_id string, defect string, last string, shape string")
-    counted = rows.mapInArrow(_endings, "kind string, word string, uses long, finals long").groupBy("kind", "word").agg(F.sum("uses").alias("uses"), F.sum("finals").alias("finals"))
+    judged = rows.mapInArrow(_judged, "question_id string, defect string, last string, shape string").persist(StorageLevel.MEMORY_AND_DISK)
+    counted = rows.mapInArrow(_endings, "kind string, word string, uses long, finals long").groupBy("kind", "word").agg(F.sum("uses").alias("uses"), F.sum("finals").alias("finals")).persist(StorageLevel.MEMORY_AND_DISK)
     shapes = counted.where("kind = 's'").select(F.col("word").alias("shape"), F.col("uses").alias("shape_uses"))
     total = shapes.agg(F.sum("shape_uses").alias("shape_total"))
     words = counted.where("kind = 'w'").select(F.col("word").alias("last"), "uses", "finals")
