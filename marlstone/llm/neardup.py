@@ -33,6 +33,8 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 SIG_SHARE, SIG_MOST = 0.002, 20_000
 #: A larger bucket is compared in blocks, as tasks of their own.
 BUCKET_MOST, BLOCK = 16_384, 8_192
+#: Buckets under this size are compared together.
+SMALL = 40
 ROW = np.dtype([("sig", "<u4"), ("kl", "<u4"), ("kb", "<u8"), ("sk", "<u4")])
 SETS = "sid string, did string, kb long, kl long, sk long, n int, words binary"
 
@@ -323,15 +325,22 @@ def _compare(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Recor
         heads = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         size = np.diff(np.r_[heads, len(sig)])
         found = []
-        small = np.repeat(size < 16, size)
-        for lag in range(1, 16):
-            if lag >= len(sig):
+        own = np.repeat(size, size)
+        code = (kb >> np.uint64(50) & np.uint64(63)).astype(np.int64)
+        top = int(compare.allowed[code.max(), code.max()])
+        at = np.flatnonzero((own > 1) & (own < SMALL))  # small buckets all at once, row against the row lag places on
+        for lag in range(1, SMALL):
+            if lag in (1, 3, 6, 12, 24):
+                at = at[own[at] > lag]
+                s_at, k_at = sig[at], kb[at] & _M50
+            if lag >= len(at):
                 break
-            i = np.flatnonzero((sig[lag:] == sig[:-lag]) & small[lag:])
+            i = np.flatnonzero((np.bitwise_count(k_at[lag:] ^ k_at[:-lag]) <= top) & (s_at[lag:] == s_at[:-lag]))
             if len(i):
-                ok = compare.refine(rec[i], rec[i + lag])
-                found.append((i[ok], i[ok] + lag))
-        for h, s in zip(heads[size >= 16].tolist(), size[size >= 16].tolist()):
+                x, y = at[i], at[i + lag]
+                ok = compare.refine(rec[x], rec[y])
+                found.append((x[ok], y[ok]))
+        for h, s in zip(heads[size >= SMALL].tolist(), size[size >= SMALL].tolist()):
             if s <= BUCKET_MOST:
                 for i, j in compare.block(rec[h : h + s], rec[h : h + s], True):
                     found.append((i + h, j + h))
