@@ -324,3 +324,60 @@ def event_sessions(spark, d):
     from marlstone.streaming.flows import sessions
 
     return sessions(table(spark, d, "events"), "ts", "user_id", "6 hours")
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice >= 200000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 15""")
+def prepared_statement(spark, d):
+    """Parameters are bound, never pasted into the text."""
+    return spark.sql("SELECT o_orderkey, o_totalprice FROM {o} WHERE o_orderpriority = :p AND o_totalprice >= :least ORDER BY o_totalprice DESC, o_orderkey LIMIT 15", args={"p": "1-URGENT", "least": 200000}, o=table(spark, d, "orders"))
+
+
+@query("""SELECT v.code, v.label, count(o_orderkey) AS n FROM (VALUES ('F', 'finished'), ('O', 'open'), ('P', 'partial'), ('X', 'none')) v(code, label) LEFT JOIN orders ON o_orderstatus = v.code GROUP BY 1, 2""")
+def inline_values(spark, d):
+    v = spark.createDataFrame([("F", "finished"), ("O", "open"), ("P", "partial"), ("X", "none")], "code string, label string")
+    return v.join(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), F.col("o_orderstatus") == F.col("code"), "left").groupBy("code", "label").agg(F.count("o_orderkey").alias("n"))
+
+
+@query("""SELECT x, CASE WHEN regexp_matches(trim(x), '^\\(.*\\)$') THEN -TRY_CAST(regexp_replace(trim(x), '[$,()\\s]', '', 'g') AS DOUBLE) ELSE TRY_CAST(regexp_replace(trim(x), '[$,()\\s]', '', 'g') AS DOUBLE) END AS n FROM (VALUES ('1,234'), ('(123)'), ('—'), ('$5'), (' $ (4,000.5) '), ('x'), (NULL)) t(x)""")
+def clean_numbers(spark, d):
+    df = spark.createDataFrame([(x,) for x in ("1,234", "(123)", "—", "$5", " $ (4,000.5) ", "x", None)], "x string")
+    return df.select("x", text.clean_number(F.col("x")).alias("n"))
+
+
+@query("""SELECT sentenceID, CAST(len(regexp_extract_all(sentence, '\\d+')) AS INTEGER) AS n_numbers, nullif(regexp_extract(sentence, '\\$([0-9.,]+)', 1), '') AS first_amount, regexp_replace(sentence, '[0-9]+', '#', 'g') AS masked FROM (SELECT DISTINCT sentenceID, sentence FROM v_sample_1m_core WHERE sentence IS NOT NULL)""")
+def pattern_functions(spark, d):
+    s = F.col("sentence")
+    c = table(spark, d, "v_sample_1m_core").where("sentence is not null").select("sentenceID", "sentence").distinct()
+    return c.select("sentenceID", F.regexp_count(s, F.lit(r"\d+")).alias("n_numbers"), F.nullif(F.regexp_extract(s, r"\$([0-9.,]+)", 1), F.lit("")).alias("first_amount"), F.regexp_replace(s, "[0-9]+", "#").alias("masked"))
+
+
+@query("""SELECT question_id, s.t AS kind, s.n AS n_years, typeof(s.n) = 'BIGINT' AS is_long FROM (SELECT question_id, struct_pack(t := answer_type, n := CAST(len(years) AS BIGINT)) AS s FROM (SELECT DISTINCT question_id, answer_type, years FROM p3_gold_p3v3_new10 WHERE years IS NOT NULL))""")
+def struct_fields(spark, d):
+    q = table(spark, d, "p3_gold_p3v3_new10").where("years is not null").select("question_id", "answer_type", "years").distinct()
+    q = q.select("question_id", F.struct(F.col("answer_type").alias("t"), F.size("years").cast("long").alias("n")).alias("s"))
+    return q.select("question_id", F.col("s.t").alias("kind"), F.col("s.n").alias("n_years"), (F.typeof("s.n") == "bigint").alias("is_long"))
+
+
+@query("""SELECT user_id, event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS micros_since FROM events""")
+def step_durations(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").select("user_id", "event_id", (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)).alias("micros_since"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS ym, CAST(o_orderdate AS DATE) AS day, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 1, 4) AS INTEGER) AS sliced FROM orders""")
+def date_parts(spark, d):
+    o = F.col("o_orderdate")
+    return table(spark, d, "orders").select("o_orderkey", F.date_format(o, "yyyy-MM").alias("ym"), o.cast("date").alias("day"), F.year(o).alias("y"), F.substring(o.cast("date").cast("string"), 1, 4).try_cast("int").alias("sliced"))
+
+
+@query("""SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) IS NULL AS none_finished, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS n_open, round(coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 0) / nullif(sum(o_totalprice), 0), 6) AS share FROM orders GROUP BY 1""")
+def conditional_aggregates(spark, d):
+    f = F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(f.isNull().alias("none_finished"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"), F.round(F.try_divide(F.coalesce(f, F.lit(0.0)), F.sum("o_totalprice")), 6).alias("share"))
+
+
+@query("""SELECT metric, value FROM (SELECT 'core_rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM v_sample_1m_core UNION ALL SELECT 'core_ids', CAST(count(DISTINCT sentenceID) AS DOUBLE) FROM v_sample_1m_core UNION ALL SELECT 'null_sentences', CAST(count(*) - count(sentence) AS DOUBLE) FROM v_sample_1m_core)""")
+def report_rows(spark, d):
+    from marlstone.operators.quality import report
+
+    return report({"core_rows": F.count("*"), "core_ids": F.count_distinct("sentenceID"), "null_sentences": F.count_if(F.col("sentence").isNull())}, table(spark, d, "v_sample_1m_core"))
