@@ -13,6 +13,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -62,6 +63,7 @@ _ASKED = re.compile(r"^\W*(?:the question(?: (?:is|was|asked))?|question|q|you (
 _AMOUNT = re.compile(r"\d\s*(?:%|percent|per cent|prozent|pour cent|por ciento|por cento|(?:hundred|thousand|million|billion|trillion)s?(?: (?:dollars|euros?|usd|eur))?|bps|basis points|shares|dollars|euros?|usd|eur|years?|[kmb])?$", re.I)
 _OPENERS, _CLOSERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}, set(")]}”»")
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)[^<>]*?(/?)>|<[a-zA-Z/!][^<>]*$")
+_MARK = re.compile(r"[<\"()\[\]{}“”„«»]")
 _VOID = {"br", "hr", "img", "input", "meta", "link", "p", "li", "td", "tr", "th"}
 
 
@@ -92,7 +94,8 @@ def still_open(text: str) -> list[str]:
     if text.count("```") % 2:
         return ["```"]
     i = 0
-    while i < len(text):
+    while m := _MARK.search(text, i):
+        i = m.start()
         c = text[i]
         if c == "<":
             m = _TAG.match(text, i)
@@ -198,12 +201,13 @@ def copies(question: str, answer: str) -> bool:
     return share >= 0.8 and back >= 0.5 and len(new) <= 1
 
 
+@lru_cache(maxsize=8192)
 def language(text: str) -> tuple[str | None, float, float]:
     """(language, its score, the score of the next) by function words and spellings; a script other than Latin is its own."""
     letters = [c for c in text if c.isalpha()]
     if not letters:
         return None, 0.0, 0.0
-    for name, low, high in (("cyrillic", "Ѐ", "ԯ"), ("greek", "Ͱ", "Ͽ"), ("hebrew", "֐", "׿"), ("arabic", "؀", "ۿ"), ("devanagari", "ऀ", "ॿ"), ("thai", "฀", "๿"), ("hangul", "가", "힣"), ("kana", "぀", "ヿ"), ("han", "一", "鿿")):
+    for name, low, high in () if max(letters) < "Ͱ" else (("cyrillic", "Ѐ", "ԯ"), ("greek", "Ͱ", "Ͽ"), ("hebrew", "֐", "׿"), ("arabic", "؀", "ۿ"), ("devanagari", "ऀ", "ॿ"), ("thai", "฀", "๿"), ("hangul", "가", "힣"), ("kana", "぀", "ヿ"), ("han", "一", "鿿")):
         if sum(low <= c <= high for c in letters) > 0.5 * len(letters):
             return name, 10.0, 0.0
     words = [w.lower() for w in re.findall(r"[^\W\d_]+", text)]
@@ -338,14 +342,16 @@ def defects(pairs: DataFrame, question_id: str = "question_id", question: str =
     head holds. A null question leaves only what its answer shows by itself. Null ids are left out.
     """
     rows = pairs.select(F.col(question_id).cast("string").alias("question_id"), F.col(question).alias("q"), F.col(answer).alias("a")).where("question_id is not null")
-    judged = rows.mapInArrow(_judged, "question_id string, defect string, last string, shape string").persist(StorageLevel.MEMORY_AND_DISK)
+    judged = rows.mapInArrow(_judged, "question_id string, defect string, last string, shape string")
     counted = rows.mapInArrow(_endings, "kind string, word string, uses long, finals long").groupBy("kind", "word").agg(F.sum("uses").alias("uses"), F.sum("finals").alias("finals")).persist(StorageLevel.MEMORY_AND_DISK)
     shapes = counted.where("kind = 's'").select(F.col("word").alias("shape"), F.col("uses").alias("shape_uses"))
     total = shapes.agg(F.sum("shape_uses").alias("shape_total"))
     words = counted.where("kind = 'w'").select(F.col("word").alias("last"), "uses", "finals")
-    sure = judged.where("defect is not null").select("question_id", "defect")
-    unsure = judged.where("defect is null and last <> ''").join(words, "last", "left").join(shapes, "shape", "left").crossJoin(F.broadcast(total))
+    open_ = F.col("defect").isNull()
+    none = F.concat(F.lit("\x00"), F.col("question_id"))  # decided rows meet nobody and spread over the tasks
+    keyed = judged.withColumns({"last": F.when(open_, F.col("last")).otherwise(none), "shape": F.when(open_, F.col("shape")).otherwise(none)})
+    every = keyed.join(words, "last", "left").join(shapes, "shape", "left").crossJoin(F.broadcast(total))
     cut = F.col("uses").isNull() | ((F.col("uses") >= USES) & (F.col("finals") == 0)) | (F.coalesce("shape_uses", F.lit(0)) < RARE_END * F.coalesce("shape_total", F.lit(0)))
-    every = sure.unionByName(unsure.where(cut).select("question_id", F.lit("truncated").alias("defect")))
+    every = every.withColumn("defect", F.coalesce("defect", F.when(cut, "truncated"))).where("defect is not null")
     order = F.array(*map(F.lit, ("empty", "refusal", "copies_question", "other_language", "truncated")))
     return every.groupBy("question_id").agg(F.min(F.array_position(order, F.col("defect"))).alias("k")).select("question_id", F.element_at(order, F.col("k").cast("int")).alias("defect"))
