@@ -361,7 +361,8 @@ def struct_fields(spark, d):
 @query("""SELECT user_id, event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS micros_since FROM events""")
 def step_durations(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("user_id", "event_id", (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)).alias("micros_since"))
+    t = F.col("ts").cast("timestamp")
+    return table(spark, d, "events").select("user_id", "event_id", (F.unix_micros(t) - F.lag(F.unix_micros(t)).over(w)).alias("micros_since"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS ym, CAST(o_orderdate AS DATE) AS day, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 1, 4) AS INTEGER) AS sliced FROM orders""")
