@@ -30,7 +30,7 @@ WORD_BITS = 40
 _M50 = np.uint64((1 << 50) - 1)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: A signature may bring together this share of all sets, at most SIG_MOST sets, as far as the cells' counts tell.
-SIG_SHARE, SIG_MOST = 0.002, 20_000
+SIG_SHARE, SIG_MOST = 0.002, 1_000
 #: A larger bucket is compared in blocks, as tasks of their own.
 BUCKET_MOST, BLOCK = 16_384, 8_192
 #: Buckets under this size are compared together.
