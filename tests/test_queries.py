@@ -24,7 +24,7 @@ def test_runs(spark, name):
 
 def test_comparison_sees_differences(spark):
     assert differs(spark, FOLDER, registry.QUERIES["top_k"], registry.SQL["top_k"].replace("LIMIT 20", "LIMIT 19"))
-    assert differs(spark, FOLDER, registry.QUERIES["having_filter"], registry.SQL["having_filter"].replace("count(*) AS n", "count(*) + 1 AS n"))
+    assert differs(spark, FOLDER, registry.QUERIES["temporal_bins"], registry.SQL["temporal_bins"].replace("count(*) AS n", "count(*) + 1 AS n"))
 
 
 def test_flagship(spark):
