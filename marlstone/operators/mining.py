@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -140,13 +141,15 @@ def simhash(texts: pd.Series) -> pd.Series:
 def simhash_rate(df: DataFrame, section: str, id_col: str, text: str, most: int = 3) -> DataFrame:
     """(section, n, n_near, near_pct): texts with another of the section within most bits.
 
-    Equal hashes are one representative with a count. Representatives meet if one of most + 1 blocks of their bits is
-    equal, which misses no pair within most bits.
+    Equal hashes are one representative with a count. The bits are cut into 2 * most blocks; two hashes within most bits
+    agree in most blocks at least, so each choice of most blocks is a key, of half the bits, and no pair is missed.
     """
     h = df.where(F.col(section).isNotNull() & F.col(text).isNotNull()).select(F.col(section).alias("section"), simhash(F.col(text)).alias("h")).groupBy("section", "h").agg(F.count("*").alias("c"))
-    width = 64 // (most + 1)
-    blocks = F.array(*(F.struct(F.lit(b).alias("b"), F.shiftrightunsigned("h", b * width).bitwiseAND((1 << width) - 1).alias("v")) for b in range(most + 1)))
-    e = h.select("section", "h", F.inline(blocks))
+    n = 2 * max(1, most)
+    cuts = [64 * i // n for i in range(n + 1)]
+    parts = [F.shiftrightunsigned("h", a).bitwiseAND((1 << (z - a)) - 1) for a, z in zip(cuts, cuts[1:])]
+    keys = F.array(*(F.struct(F.lit(i).alias("b"), F.xxhash64(*(parts[k] for k in some)).alias("v")) for i, some in enumerate(combinations(range(n), n // 2))))
+    e = h.select("section", "h", F.inline(keys))
     pairs = e.alias("x").join(e.alias("y"), ["section", "b", "v"]).where((F.col("x.h") != F.col("y.h")) & (F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h"))) <= most))
     near = pairs.select("section", F.col("x.h").alias("h")).distinct().withColumn("near", F.lit(1))
     j = h.join(near, ["section", "h"], "left")

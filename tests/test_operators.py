@@ -224,6 +224,22 @@ def test_tfidf_and_simhash(spark):
     assert mining.tfidf_terms(df.limit(0), "section", "id", "t").count() == 0 and mining.simhash_rate(df.limit(0), "section", "id", "t").count() == 0
 
 
+def test_simhash_pairs_are_those_of_brute_force(spark):
+    import random
+
+    r = random.Random(6)
+    docs = []
+    for i in range(150):
+        w = docs[r.randrange(len(docs))][2].split() if docs and r.random() < 0.6 else [f"word{r.randrange(200)}" for _ in range(60)]
+        if r.random() < 0.7:
+            w[r.randrange(len(w))] = "x"
+        docs.append(("s" if i % 2 else "t", i, " ".join(w)))
+    df = spark.createDataFrame(docs, "section string, id int, t string")
+    h = [(x["section"], x["id"], x["h"]) for x in df.select("section", "id", mining.simhash(F.col("t")).alias("h")).collect()]
+    want = {s: sum(any(s == b[0] and i != b[1] and ((v ^ b[2]) & (2**64 - 1)).bit_count() <= 3 for b in h) for z, i, v in h if z == s) for s in "st"}
+    assert {x["section"]: x["n_near"] for x in mining.simhash_rate(df, "section", "id", "t").collect()} == want and sum(want.values()) > 5
+
+
 def test_answer_scores(spark):
     df = spark.createDataFrame([("What is revenue?", "Revenue was $5 billion in 2020.", "Revenue was $5 billion", ["revenue was $5 billion", "profit of nine"]), ("q", None, "t", ["a"])], "q string, r string, t string, f array<string>")
     a, b = evaluation.answer_scores(df, "q", "r", "t", "f").select("factual", "completeness", "overall").collect()
