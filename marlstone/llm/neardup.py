@@ -245,7 +245,9 @@ def _emit(batches: Iterator[pa.RecordBatch], counts, total: int, plan: Plan, buc
                 new.append(i)
         if len(seen) > 200_000:
             seen.clear()
-        batch = batch.take(pa.array(new))
+        if not new:
+            continue
+        batch = batch.take(pa.array(new, pa.int64()))
         kb, kl, sk = (batch.column(i).to_numpy() for i in (0, 1, 2))
         words, offsets = unpack(batch.column(3))
         at, sig = signatures(words, offsets, table, total, plan)

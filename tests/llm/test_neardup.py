@@ -75,6 +75,16 @@ def test_edges(spark):
     assert neardup.near_duplicate_groups(df.limit(0), "id", "text").count() == 0
 
 
+def test_batches_of_copies_only():
+    texts = pa.array([f"{' '.join(f'word{k}' for k in range(14))} own{i % 2}" for i in range(4)])
+    ids = pa.array([f"s{i}" for i in range(4)])
+    sets = next(neardup._sets(iter([pa.RecordBatch.from_arrays([ids, ids, texts], names=["a", "b", "c"])]), 12)).select(["kb", "kl", "sk", "words"])
+    counts = type("Sent", (), {"value": np.full(1 << neardup.CELL_BITS, 4)})
+    emitted = lambda batches: [b.to_pydict() for b in neardup._emit(iter(batches), counts, 4, neardup.Plan(0.7, 12), 3)]
+    first = emitted([sets.slice(0, 2)])
+    assert first and emitted([sets.slice(0, 2), sets.slice(2, 2), sets.slice(0, 1)]) == first
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(f"p{i}", f"p{i + 1}") for i in range(30)] + [("c", f"x{i}") for i in range(20)] + [("z", "y"), ("q", "q")]
     got = {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(edges, "a string, b string")).collect()}
