@@ -170,6 +170,14 @@ class Plan:
     def distance(self, a, b):
         return a + b - 2 * self.overlap(a, b)
 
+    def farthest(self, least: int, most: int) -> int:
+        """The largest distance of similar sets with least to most words together; it is not monotone in their sum.
+
+        It grows by q - p when the sum grows by p + q, so the last p + q sums hold the maximum.
+        """
+        sums = np.arange(max(least, most - self.t.numerator - self.t.denominator + 1), most + 1)
+        return int(self.distance(sums, 0).max())
+
 
 def signatures(words: np.ndarray, offsets: np.ndarray, counts: np.ndarray, total: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """(set, signature) for the sets words[offsets[i]:offsets[i + 1]]."""
@@ -271,8 +279,10 @@ class _Compare:
         self.plan, most = plan, size_most()
         self.most, self.least = most, size_least()
         a = np.minimum(most, 1 << 20)
-        self.allowed = np.array([[plan.distance(int(x), int(y)) for y in a] for x in a])
         low = self.least
+        self.allowed = np.array([[plan.farthest(int(lx + ly), int(x + y)) for ly, y in zip(low, a)] for lx, x in zip(low, a)])
+        #: The most that is allowed to codes up to these.
+        self.top = np.maximum.accumulate(np.maximum.accumulate(self.allowed, axis=0), axis=1)
         self.fits = np.array([[plan.overlap(int(lx), int(ly)) <= min(int(x), int(y)) for ly, y in zip(low, a)] for lx, x in zip(low, a)])
 
     def refine(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -282,7 +292,7 @@ class _Compare:
 
     def block(self, x: np.ndarray, y: np.ndarray, same: bool) -> list[np.ndarray]:
         """Index pairs into x and y."""
-        top = int(self.allowed[int((x["kb"] >> np.uint64(50) & np.uint64(63)).max()), int((y["kb"] >> np.uint64(50) & np.uint64(63)).max())])
+        top = int(self.top[int((x["kb"] >> np.uint64(50) & np.uint64(63)).max()), int((y["kb"] >> np.uint64(50) & np.uint64(63)).max())])
         out, kx, ky = [], x["kb"] & _M50, y["kb"] & _M50
         for s in range(0, len(x), 256):
             for t in range(s if same else 0, len(y), 2048):
@@ -329,7 +339,7 @@ def _compare(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Recor
         found = []
         own = np.repeat(size, size)
         code = (kb >> np.uint64(50) & np.uint64(63)).astype(np.int64)
-        top = int(compare.allowed[code.max(), code.max()])
+        top = int(compare.top[code.max(), code.max()])
         at = np.flatnonzero((own > 1) & (own < SMALL))  # small buckets all at once, row against the row lag places on
         for lag in range(1, SMALL):
             if lag in (1, 3, 6, 12, 24):

@@ -75,6 +75,35 @@ def test_edges(spark):
     assert neardup.near_duplicate_groups(df.limit(0), "id", "text").count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8, 0.93])
+def test_sketch_bounds_hold_for_all_sizes(threshold):
+    plan = neardup.Plan(threshold, 12)
+    compare, n = neardup._Compare(plan), np.arange(12, 700)
+    code = neardup.size_code(n).astype(int)
+    assert (compare.least[code] <= n).all() and (n <= compare.most[code]).all()
+    a, b = np.meshgrid(n, n)
+    ca, cb = np.meshgrid(code, code)
+    can = plan.overlap(a, b) <= np.minimum(a, b)
+    assert compare.fits[ca, cb][can].all() and (plan.distance(a, b) <= compare.allowed[ca, cb])[can].all()
+    k = np.arange(64)
+    assert all((compare.allowed[: i + 1, : j + 1] <= compare.top[i, j]).all() for i in k for j in k)
+
+
+@pytest.mark.parametrize("sizes", [(14, 15), (36, 49), (46, 53), (59, 84)])
+def test_pairs_at_the_bound_are_compared(sizes):
+    plan = neardup.Plan(0.7, 12)
+    both, texts = plan.overlap(*sizes), []
+    for k in range(40):
+        texts += [" ".join([*(f"c{k}x{i}" for i in range(both)), *(f"o{k}x{i}x{size}" for i in range(size - both))]) for size in sizes]
+    ids = pa.array([f"s{i}" for i in range(len(texts))])
+    sets = next(neardup._sets(iter([pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["a", "b", "c"])]), 12))
+    rec = np.zeros(len(texts), dtype=neardup.ROW)
+    rec["kb"], rec["kl"], rec["sk"] = sets.column(2).to_numpy().view(np.uint64), sets.column(3).to_numpy(), sets.column(4).to_numpy()
+    compare = neardup._Compare(plan)
+    got = {tuple(p) for ij in compare.block(rec, rec, True) for p in ij.T.tolist()}
+    assert {(i, i + 1) for i in range(0, len(texts), 2)} <= got
+
+
 def test_batches_of_copies_only():
     texts = pa.array([f"{' '.join(f'word{k}' for k in range(14))} own{i % 2}" for i in range(4)])
     ids = pa.array([f"s{i}" for i in range(4)])
