@@ -468,17 +468,58 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct().join(e.select(F.col("u").alias("node")).distinct(), "node", "left_anti"))
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, min_words: int = 12) -> DataFrame:
+def _across(sets: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, ids, active) of the class pairs and copies whose rows have different ids and documents.
+
+    edges are the class pairs of near with such rows, ids link classes that share an id, active are the classes with
+    such rows in an edge or among their own copies. Of a class up to five members stand for all: one, the two of least
+    and greatest document without its id, and the two of least and greatest id without its document. Whatever id and
+    document a row of another class has, if any member differs in both, one of the five does.
+    """
+    by = ["kb", "kl"]
+    copied = sets.groupBy(*by).count().where("count > 1").select(*by)
+    wanted = near.select(F.col("kb1").alias("kb"), F.col("kl1").alias("kl")).union(near.select("kb2", "kl2")).union(copied).distinct()
+    members = cut(only_classes(sets.where("did is not null").select("sid", "did", *by), cut(wanted)).distinct())
+    one = members.groupBy(*by).agg(F.min(F.struct("sid", "did")).alias("one"))
+    doc = F.when(F.col("sid") != F.col("one.sid"), F.struct("did", "sid"))
+    own = F.when(F.col("did") != F.col("one.did"), F.struct("sid", "did"))
+    few = members.join(one, by).groupBy(*by).agg(F.first("one").alias("a"), F.min(doc).alias("b"), F.max(doc).alias("c"), F.min(own).alias("d"), F.max(own).alias("e"))
+    few = cut(few.select(*by, F.filter(F.array(*(F.when(F.col(x).isNotNull(), F.struct(F.col(f"{x}.sid").alias("sid"), F.col(f"{x}.did").alias("did"))) for x in "abcde")), lambda m: m.isNotNull()).alias("m")))
+    differ = lambda x, y: F.exists(x, lambda p: F.exists(y, lambda q: (p["sid"] != q["sid"]) & (p["did"] != q["did"])))
+    x, y = (few.select(F.col("kb").alias(f"kb{i}"), F.col("kl").alias(f"kl{i}"), F.col("m").alias(f"m{i}")) for i in (1, 2))
+    edges = cut(near.join(x, ["kb1", "kl1"]).join(y, ["kb2", "kl2"]).where(differ("m1", "m2")).select("kb1", "kl1", "kb2", "kl2"))
+    active = cut(edges.select(F.col("kb1").alias("kb"), F.col("kl1").alias("kl")).union(edges.select("kb2", "kl2")).union(few.where(differ("m", "m")).select(*by)).distinct())
+    held = members.select("sid", *by).distinct().join(active, by, "left_semi")
+    least = held.groupBy("sid").agg(F.min(F.struct(*by)).alias("l"), F.count("*").alias("n")).where("n > 1").select("sid", "l")
+    ids = held.join(least, "sid").where("kb <> l.kb or kl <> l.kl").select(F.col("l.kb").alias("kb1"), F.col("l.kl").alias("kl1"), F.col("kb").alias("kb2"), F.col("kl").alias("kl2")).distinct()
+    return edges, ids, active
+
+
+def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, min_words: int = 12, doc_col: str | None = None) -> DataFrame:
     """(id, class_id, group_id, links): one row for each id and word set; links counts similar other word sets.
 
     Copies share a class; groups are the connected classes, named by their smallest class. Ids whose text is null,
     blank or short are left out. Repeated rows give one row.
+
+    With doc_col groups are those of the pairs of similar_pairs: a link needs rows of different ids and documents, an
+    id of several texts joins their groups, and an id without a pair, or without a document, has a group of its own.
     """
-    sets = word_sets(df, id_col, None, text_col, min_words).persist(StorageLevel.MEMORY_AND_DISK)
+    sets = word_sets(df, id_col, doc_col, text_col, min_words).persist(StorageLevel.MEMORY_AND_DISK)
     near = cut(class_pairs(sets, threshold, min_words))
     name = lambda b, l: F.concat_ws("-", F.hex(b), F.hex(l))
-    edges = near.select(name(F.col("kb1"), F.col("kl1")).alias("a"), name(F.col("kb2"), F.col("kl2")).alias("b"))
+    named = lambda pairs: pairs.select(name(F.col("kb1"), F.col("kl1")).alias("a"), name(F.col("kb2"), F.col("kl2")).alias("b"))
+    ids = active = None
+    if doc_col:
+        near, ids, active = _across(sets, near)
+    edges = named(near)
     links = edges.select(F.col("a").alias("class_id")).union(edges.select("b")).groupBy("class_id").agg(F.count("*").alias("links"))
-    groups = components(edges).select(F.col("node").alias("class_id"), F.col("root").alias("group_id")).join(links, "class_id")
-    rows = sets.select(F.col("sid").alias("id"), name(F.col("kb"), F.col("kl")).alias("class_id")).distinct()
-    return rows.join(groups, "class_id", "left").select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    groups = components(edges.union(named(ids)) if doc_col else edges).select(F.col("node").alias("class_id"), F.col("root").alias("group_id"))
+    if not doc_col:
+        rows = sets.select(F.col("sid").alias("id"), name(F.col("kb"), F.col("kl")).alias("class_id")).distinct()
+        return rows.join(groups.join(links, "class_id"), "class_id", "left").select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    kept = active.select("kb", "kl", name(F.col("kb"), F.col("kl")).alias("class_id")).join(groups, "class_id", "left").join(links, "class_id", "left")
+    kept = kept.select("kb", "kl", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    rows = sets.groupBy("sid", "kb", "kl").agg(F.max(F.col("did").isNotNull()).alias("has")).join(kept, ["kb", "kl"], "left")
+    paired = F.col("has") & F.col("group_id").isNotNull()
+    class_id = name(F.col("kb"), F.col("kl"))
+    return rows.select(F.col("sid").alias("id"), class_id.alias("class_id"), F.when(paired, F.col("group_id")).otherwise(F.concat_ws("-", class_id, F.col("sid"))).alias("group_id"), F.when(paired, F.col("links")).otherwise(0).alias("links"))

@@ -35,7 +35,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicate_groups(table(spark, d, "v_sample_1m_core"), "sentenceID", "sentence").withColumnRenamed("id", "sentence_id")
+    return neardup.near_duplicate_groups(table(spark, d, "v_sample_1m_core"), "sentenceID", "sentence", doc_col="docID").withColumnRenamed("id", "sentence_id")
 
 
 def p5_matches(spark: SparkSession, d: str) -> DataFrame:

@@ -114,6 +114,45 @@ def test_batches_of_copies_only():
     assert first and emitted([sets.slice(0, 2), sets.slice(2, 2), sets.slice(0, 1)]) == first
 
 
+def joined(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    out = {}
+    for x in list(root):
+        out.setdefault(find(x), set()).add(x)
+    return {frozenset(g) for g in out.values()}
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_groups_follow_from_pairs(spark, seed):
+    r = random.Random(seed)
+    rows = [(i if r.random() < 0.9 else f"s{r.randrange(260)}", r.choice([f"d{r.randrange(3)}", f"d{r.randrange(3)}", None]), t) for i, _, t in made(seed)]
+    rows += [(f"c{k}", r.choice([d, d, None]), t) for k, (_, d, t) in enumerate(r.choices(rows, k=60))]
+    df = spark.createDataFrame(rows, "id string, doc string, text string")
+    of = {}
+    for x in neardup.near_duplicate_groups(df, "id", "text", 0.7, doc_col="doc").collect():
+        of.setdefault(x["group_id"], set()).add(x["id"])
+    assert {frozenset(g) for g in of.values() if len(g) > 1} == joined(brute(rows, 0.7, 12))
+
+
+def test_rows_of_one_document_are_no_group(spark):
+    t, u = (" ".join(f"{c}{k}" for k in range(14)) for c in "tu")
+    rows = [("a", "1", t), ("b", "1", t), ("c", "1", t + " more"), ("n", None, t), ("x", "1", u), ("y", "1", u), ("z", "2", u + " more"), ("n", None, u)]
+    g = {(r["id"], r["class_id"]): r for r in neardup.near_duplicate_groups(spark.createDataFrame(rows, "id string, doc string, text string"), "id", "text", doc_col="doc").collect()}
+    of = {}
+    for (i, _), r in g.items():
+        of.setdefault(r["group_id"], set()).add(i)
+    assert sorted(map(sorted, of.values())) == [["a"], ["b"], ["c"], ["n"], ["n"], ["x", "y", "z"]]
+    assert sorted((i, r["links"]) for (i, _), r in g.items()) == [("a", 0), ("b", 0), ("c", 0), ("n", 0), ("n", 0), ("x", 1), ("y", 1), ("z", 1)]
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(f"p{i}", f"p{i + 1}") for i in range(30)] + [("c", f"x{i}") for i in range(20)] + [("z", "y"), ("q", "q")]
     got = {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(edges, "a string, b string")).collect()}
