@@ -1,7 +1,9 @@
 """Matching entities of two sources without a common key: Gaussian mixtures with transitivity.
 
-Names are cut into tokens; candidates share a rare token up to one edit, or a ticker. Each candidate pair becomes a
-vector of similarities. Two Gaussians, matched and unmatched, are fitted to all vectors without labels; their
+Names are cut into tokens; candidates share a rare token up to one edit, a ticker, or the whole name run together. Where
+either name has no rare token, any token they share up to one edit makes them candidates, however frequent or short.
+Each candidate pair becomes a vector of similarities. Two Gaussians, matched and unmatched, are fitted without labels to
+the vectors of all candidates but the last kind, which may be many and unlike, and judge those too; their
 covariances are regularised. In each E step the posteriors of one holding's candidates are brought into agreement
 with transitivity: companies with different keys are different, so a holding can be the same as one of them at most.
 Every iteration is one pass over the vectors that returns sums only.
@@ -118,10 +120,12 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch], rare: int) -> Iterator[pa.RecordBatch]:
+    """(id, key): rare tokens (n), tickers (t), the whole name run together (w), all tokens (f)."""
     for b in batches:
         out = []
         for i, toks, dfs, tickers in zip(*(b.column(k).to_pylist() for k in range(4))):
-            keys = {f"n {v}" for t, d in zip(toks, dfs) if d <= rare and len(t) >= 3 for v in deletions(t)} | {f"t {t}" for t in tickers if t}
+            keys = {f"n {v}" for t, d in zip(toks, dfs) if d <= rare for v in deletions(t)} | {f"t {t}" for t in tickers if t}
+            keys |= {f"w {''.join(toks)}"} | {f"f {v}" for t in toks for v in deletions(t)}
             keys |= {f"t {t[1:-1]}" for t in tickers if t and len(t) > 3 and t[0] == "Z" and t[-1] == "Q"} | {f"t {t[:-1]}" for t in tickers if t and len(t) > 3}
             out += [(i, k) for k in keys]
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], names=["id", "key"])
@@ -130,7 +134,7 @@ def _keys(batches: Iterator[pa.RecordBatch], rare: int) -> Iterator[pa.RecordBat
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [vector(*r) for r in zip(*(b.column(k).to_pylist() for k in range(2, 10)))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(5))], names=["cid", "hid", *DIMENSIONS])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(10), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(5))], names=["cid", "hid", "keyed", *DIMENSIONS])
 
 
 class Mixture:
@@ -247,15 +251,19 @@ def match(companies: DataFrame, holdings: DataFrame, threshold: float = 0.5) ->
 
     one, two = weighted(one), weighted(two)
     keys = lambda side: side.select(F.col("k").cast("string").alias("id"), "tokens", "dfs", "tickers").mapInArrow(lambda it: _keys(it, rare), "id string, key string").distinct()
-    a, b = keys(one).withColumnRenamed("id", "ck"), keys(two).withColumnRenamed("id", "hk")
-    linked = a.join(b, "key").select("ck", "hk").distinct()
+    a, b = (keys(side).withColumnRenamed("id", i).persist(StorageLevel.MEMORY_AND_DISK) for side, i in ((one, "ck"), (two, "hk")))
+    bare = lambda x, i: x.where("key like 'f %'").join(x.where("key like 'n %'").select(i).distinct(), i, "left_anti")
+    met = lambda x, y, keyed: x.join(y, "key").select("ck", "hk", F.lit(keyed).alias("keyed"))
+    linked = met(a.where("key not like 'f %'"), b, True).union(met(bare(a, "ck"), b, False)).union(met(a, bare(b, "hk"), False))
+    linked = linked.groupBy("ck", "hk").agg(F.max("keyed").alias("keyed"))
     c = one.select(F.col("k").cast("string").alias("ck"), F.col("id").alias("cid"), F.col("tokens").alias("ct"), F.col("weights").alias("cw"), F.col("tickers").alias("c_tickers"), F.col("legal").alias("c_legal"))
     h = two.select(F.col("k").cast("string").alias("hk"), F.col("id").alias("hid"), F.col("tokens").alias("ht"), F.col("weights").alias("hw"), F.element_at(F.concat(F.array_sort("tickers"), F.array(F.lit(None).cast("string"))), 1).alias("h_ticker"), F.col("legal").alias("h_legal"))
-    pairs = linked.join(c, "ck").join(h, "hk").select("cid", "hid", "ht", "hw", "h_ticker", "h_legal", "ct", "cw", "c_tickers", "c_legal")
-    vectors = pairs.mapInArrow(_vectors, "cid string, hid string, " + ", ".join(f"{d} double" for d in DIMENSIONS))
-    best = vectors.groupBy("cid", "hid").agg(F.max(F.struct((F.col("name") + F.col("holding") + F.col("company")).alias("s"), *DIMENSIONS)).alias("b")).select("cid", "hid", *(F.col(f"b.{d}").alias(d) for d in DIMENSIONS))
+    pairs = linked.join(c, "ck").join(h, "hk").select("cid", "hid", "ht", "hw", "h_ticker", "h_legal", "ct", "cw", "c_tickers", "c_legal", "keyed")
+    vectors = pairs.mapInArrow(_vectors, "cid string, hid string, keyed boolean, " + ", ".join(f"{d} double" for d in DIMENSIONS))
+    best = vectors.groupBy("cid", "hid").agg(F.max(F.struct((F.col("name") + F.col("holding") + F.col("company")).alias("s"), *DIMENSIONS)).alias("b"), F.max("keyed").alias("keyed")).select("cid", "hid", "keyed", *(F.col(f"b.{d}").alias(d) for d in DIMENSIONS))
     best = best.repartition("hid").sortWithinPartitions("hid", "cid").persist(StorageLevel.MEMORY_AND_DISK)
-    model = fit(best)
+    keyed = best.where("keyed")
+    model = fit(keyed if keyed.take(1) else best)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole(batches):

@@ -67,3 +67,26 @@ def test_matches_of_invented_companies(spark):
     got = {(x["cik"], x["identifier"]) for x in matching.match(c, h).collect()}
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.03 * len(want) and len(names) > 200
     assert matching.match(c.limit(0), h).count() == 0 and matching.match(c, h.limit(0)).count() == 0
+
+
+def test_names_without_a_rare_token_are_matched(spark):
+    r = random.Random(9)
+    part = ["tor", "vel", "mir", "kul", "zan", "hol", "fen", "ras", "bri", "cor", "nal", "gra"]
+    comp = [(1000 + i, None, "".join(r.choice(part) for _ in range(3)).capitalize() + f" {r.choice(['Power', 'Steel', 'Realty'])} Inc") for i in range(200)]
+    hold = [(f"H{i}", None, comp[i][2].upper()) for i in range(0, 200, 3)]
+    words = ["First", "National", "Bancorp", "United", "Savings", "Community"]
+    banks = [f"{x} {y} {z}" for x in words for y in words for z in words if len({x, y, z}) == 3][::6]
+    comp += [(2000 + i, None, f"{b} Inc") for i, b in enumerate(banks)]
+    hold += [(f"B{i}", "OLD", f"{b.upper()} INC") for i, b in enumerate(banks)]
+    short = ["3M Co", "HP Inc", "GE"]
+    comp += [(3000 + i, None, n) for i, n in enumerate(short)]
+    hold += [(f"S{i}", None, n.upper()) for i, n in enumerate(short)]
+    c = spark.createDataFrame(comp, "cik long, ticker string, company_name string")
+    h = spark.createDataFrame(hold, "identifier string, ticker string, company_name string")
+    got = {(x["cik"], x["identifier"]) for x in matching.match(c, h, threshold=0.0).select("cik", "identifier").collect()}
+    assert {(2000 + i, f"B{i}") for i in range(len(banks))} <= got
+    assert {(3000 + i, f"S{i}") for i in range(len(short))} <= got
+    # a frequent word that is misspelt beside another, and one alone
+    h = h.union(spark.createDataFrame([("E", None, "FIRST NATOINAL"), ("F", None, "Bancorp")], h.schema))
+    got = {x["identifier"] for x in matching.match(c, h, threshold=0.0).select("identifier").collect()}
+    assert {"E", "F"} <= got
