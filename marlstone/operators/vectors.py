@@ -122,10 +122,16 @@ def proportional(hits: DataFrame, query: str, limit: int, share: float = 0.75, r
 def search_and_filter(vectors: DataFrame, queries: DataFrame, k: int, attributes: DataFrame, keep: Column, most_distance: float, text: str, multiplier: int = 4) -> DataFrame:
     """(query_id, id, distance, rank): k nearest of those that keep holds for, under most_distance, one for each text.
 
-    Rather than fetch more and filter, the filter comes first, so no hit is lost.
+    Rather than fetch more and filter, the filter comes first, and while a query has k times multiplier hits within
+    most_distance but under k texts, multiplier grows; so no hit is lost.
     """
     ok = vectors.join(attributes.where(keep).select(F.col("id").alias("vec_id"), F.col(text).alias("_t")), "vec_id")
-    hits = top_k(ok, queries, k * multiplier).where(F.col("distance") <= most_distance).join(ok.select(F.col("vec_id").alias("id"), "_t"), "id")
+    while True:
+        hits = top_k(ok, queries, k * multiplier).where(F.col("distance") <= most_distance).join(ok.select(F.col("vec_id").alias("id"), "_t"), "id")
+        short = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct(F.struct("_t")).alias("texts")).where((F.col("n") >= k * multiplier) & (F.col("texts") < k))
+        if not short.take(1):
+            break
+        multiplier *= 4
     one = hits.withColumn("_d", F.row_number().over(Window.partitionBy("query_id", "_t").orderBy("distance", "id"))).where("_d = 1")
     return one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
 

@@ -262,3 +262,11 @@ def test_two_tier_and_dimension(spark):
     targets = spark.createDataFrame([("t1", 1, None), ("t2", 9, "b "), ("t3", None, "q")], "id string, key int, code string")
     got = curation.two_tier_match(targets, dim, "key", "code", "k", "all_codes", "last_seen", "id")
     assert rows(got.select("id", "matched_key", "match_tier"), "id") == [("t1", 1, 1), ("t2", 1, 2), ("t3", None, None)]
+
+
+def test_search_and_filter_passes_over_copies(spark):
+    v = spark.createDataFrame([(i, [1.0, i / 1000]) for i in range(40)] + [(100 + i, [1.0, 0.5 + i / 10]) for i in range(3)] + [(200, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    attributes = spark.createDataFrame([(i, "copy") for i in range(40)] + [(100 + i, f"t{i}") for i in range(3)] + [(200, "far")], "id long, text string")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, query array<double>")
+    got = vectors.search_and_filter(v, q, 3, attributes, F.lit(True), 1.0, "text")
+    assert [r["id"] for r in got.orderBy("rank").collect()] == [0, 100, 101]
