@@ -493,7 +493,7 @@ def sentence_dedupe(spark, d):
 @query()
 def context_assembly(spark, d):
     c = _positions(spark, d)
-    h = c.where("pos % 20 = 4").select(F.col("docID").alias("query_id"), "pre", "pos")
+    h = c.select(F.col("docID").alias("query_id"), "pre", "pos")
     e = context.expand(h, c, ["pre"], "pos", 2, keep=["sentenceID", "sentence"]).dropDuplicates(["query_id", "sentenceID"])
     return context.assemble(e, "query_id", ["pre", "pos"], ["pre"], F.concat(F.lit("Doc: "), "pre"), "sentence", "sentenceID")
 

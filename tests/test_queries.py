@@ -32,3 +32,9 @@ def test_flagship(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_context_assembly_has_the_starts_of_sections(spark):
+    n = {r["query_id"]: r["n_sentences"] for r in registry.QUERIES["context_assembly"](spark, FOLDER).collect()}
+    rows = spark.read.parquet(f"{FOLDER}/v_sample_1m_core.parquet").where("docID is not null and sentenceID rlike '_[0-9]+$'").select("docID").distinct()
+    assert {r["docID"] for r in rows.collect()} <= set(n)
