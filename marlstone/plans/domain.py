@@ -311,9 +311,10 @@ def contiguity(spark, d):
 _YEARLY = "f AS (SELECT c_mktsegment AS entity, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) AS value FROM orders JOIN customer ON c_custkey = o_custkey WHERE year(o_orderdate) <= 2000 GROUP BY 1, 2)"
 
 
-def _yearly(spark, d):
+def _yearly(spark, d, last=2000):
+    """last: the last year, as in the SQL; None for all years."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    return o.where(F.year("o_orderdate") <= 2000).join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_mktsegment").alias("entity"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("value"))
+    return (o if last is None else o.where(F.year("o_orderdate") <= last)).join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_mktsegment").alias("entity"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("value"))
 
 
 @query(f"""WITH {_YEARLY}, t AS (SELECT entity, min(year) AS first_year, max(year) AS last_year, arg_min(value, year) AS first_value, arg_max(value, year) AS last_value FROM f GROUP BY 1)
@@ -336,9 +337,9 @@ def kpi_grid_coverage(spark, d):
     return kpi.lookup_stats(kpi.lookup(g, _yearly(spark, d), ["entity", "year"], "value")).withColumn("found_pct", F.round("found_pct", 6))
 
 
-def _statement(spark, d):
+def _statement(spark, d, last=2000):
     """Statement lines made of yearly totals, one label a figure and segment."""
-    y = _yearly(spark, d)
+    y = _yearly(spark, d, last)
     v = F.col("value")
     lines = {"Total revenues and other income": v, "Net Income": v * 0.1, "Total Assets": v * 2, "Liabilities": v * 0.8, "Total equity": v * 1.2, "AssetsCurrent": v * 0.5, "LiabilitiesCurrent": v * 0.25, "Inventory": v * 0.125, "Gross Profit": v * 0.4, "Selling, General and Administrative Expense": v * 0.15, "Research and Development Expense": v * 0.05, "Net Cash from Operating Activities": v * 0.3, "Capital Expenditures": -v * 0.1}
     return y.select("entity", "year", F.inline(F.array(*(F.struct(F.lit(k).alias("label"), x.alias("amount")) for k, x in lines.items()))))
@@ -366,7 +367,7 @@ def latest_filed(spark, d):
 
 @query()
 def kpi_block(spark, d):
-    f = kpi.derive(kpi.pick_by_alias(_statement(spark, d), "entity", "year", "label", "amount"), "entity", "year")
+    f = kpi.derive(kpi.pick_by_alias(_statement(spark, d, None), "entity", "year", "label", "amount"), "entity", "year")
     return kpi.kpi_lines(f, "entity", "year", "metric", "value")
 
 

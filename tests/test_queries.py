@@ -34,6 +34,11 @@ def test_flagship(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_kpi_block_has_the_last_year(spark):
+    last = spark.read.parquet(f"{FOLDER}/orders.parquet").selectExpr("max(year(o_orderdate)) AS y").first()["y"]
+    assert all(f" {last}: " in r["block"] for r in registry.QUERIES["kpi_block"](spark, FOLDER).collect())
+
+
 def test_context_assembly_has_the_starts_of_sections(spark):
     n = {r["query_id"]: r["n_sentences"] for r in registry.QUERIES["context_assembly"](spark, FOLDER).collect()}
     rows = spark.read.parquet(f"{FOLDER}/v_sample_1m_core.parquet").where("docID is not null and sentenceID rlike '_[0-9]+$'").select("docID").distinct()
