@@ -129,21 +129,21 @@ def targets(mix: DataFrame) -> DataFrame:
 
 
 def source_report(sizes: DataFrame, mix: DataFrame, budget: int) -> DataFrame:
-    """(source, name, n_docs, held, wanted, reachable, copies, short): a row for each target source, also without documents.
+    """(source, name, n_docs, held, wanted, repeats, copies): a row for each target source, also without documents.
 
-    held: its tokens, wanted: share times budget, reachable: held times its repeats, copies: mean uses of a document.
+    held: its tokens, wanted: share times budget, copies: mean uses of a document.
     """
     held = sizes.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("held"))
     t = targets(mix).join(held, "source", "left")
     return t.select(
-        "source", "name", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("held", F.lit(0)).alias("held"), (F.col("share") * F.lit(float(budget))).alias("wanted"), "repeats",
-        (F.coalesce("held", F.lit(0)) * F.coalesce("repeats", F.lit(1))).alias("reachable"),
-    ).withColumn("copies", F.when(F.col("held") > 0, F.least(F.coalesce("repeats", F.lit(1)).cast("double"), F.col("wanted") / F.col("held"))).otherwise(0.0)).withColumn("short", F.col("reachable") < F.col("wanted"))
+        "source", "name", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("held", F.lit(0)).alias("held"), (F.col("share") * F.lit(float(budget))).alias("wanted"), F.coalesce("repeats", F.lit(1)).alias("repeats"),
+    ).withColumn("copies", F.when(F.col("held") > 0, F.least(F.col("repeats").cast("double"), F.col("wanted") / F.col("held"))).otherwise(0.0))
 
 
 def mix(docs: DataFrame, mix_targets: DataFrame, budget: int, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(uses, report). uses: (doc_id, source, n_tokens, uses), a row for each document of a target source, also with no use;
-    report: source_report with the tokens and the share that were reached.
+    report: source_report with the tokens and the share that were reached, the most and fewest uses of a document, and
+    short: the rounding has used every document as often as allowed and the tokens are still fewer than wanted.
 
     A budget of null or 0 asks for nothing. Sources that only the documents have take no part. No source's documents
     are ever gathered: tasks round their rows as they stand, and only one residual a task and source moves on.
@@ -164,8 +164,9 @@ def mix(docs: DataFrame, mix_targets: DataFrame, budget: int, doc_id: str = "doc
         k += 1
     last = left.select("doc_id", "source", "n_tokens", (F.col("uses") + (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < F.col("left")).cast("long")).alias("uses"))
     uses = settled.drop("left").unionByName(last)
-    got = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.max("uses").alias("most_uses"))
+    got = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.max("uses").alias("most_uses"), F.min("uses").alias("fewest_uses"))
     report = report.join(got, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    report = report.withColumn("short", (F.coalesce("fewest_uses", "repeats") >= F.col("repeats")) & (F.col("tokens") < F.col("wanted")))
     total = report.agg(F.sum("tokens").alias("all_tokens"))
     report = report.crossJoin(F.broadcast(total)).withColumn("share", F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0)).drop("all_tokens")
     return uses.join(F.broadcast(rate.select("source", "name")), "source").select("doc_id", F.col("name").alias("source"), "n_tokens", "uses"), report.drop("source").withColumnRenamed("name", "source")

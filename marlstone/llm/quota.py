@@ -79,40 +79,44 @@ def needed(share: float, size: int, least: int) -> int:
     return max(int(share * size + 0.5), least)
 
 
-def quotas(cells: list[tuple], size: int, least: int, make_good: bool = True) -> list[tuple]:
-    """(row, column, needed, available, quota, shortfall) of (row, column, share, available) cells.
+def _margins(cells: list[tuple], units: list[int], least: int, make_good: bool) -> tuple[Network, list[list[int]], list[int]]:
+    """(network after its run, arcs of each cell that draw, slack arc of each cell) over the margins of rows and columns.
 
-    shortfall is what the cell's own slack arc carries; quota the fractional number to draw, which with make_good also
-    makes good shortfalls of other cells while the margins of rows and columns allow.
+    source -> row -> cell -> column -> sink; a row's or column's margin is the sum of its units, and so is what may go
+    through a cell. The arcs past a cell that make good what others lack are not bound by the cell's own units.
     """
-    want = [needed(s, size, least) for _, _, s, _ in cells]
-    first = Network()
-    slack = []
-    for i, (r, c, _, have) in enumerate(cells):
-        first.arc("source", ("cell", i), want[i], 0)
-        first.arc(("cell", i), "sink", min(have, least, want[i]), FLOOR)
-        first.arc(("cell", i), "sink", max(0, min(have, want[i]) - least), WANTED)
-        slack.append(first.arc(("cell", i), "sink", want[i], SLACK))
-    first.run("source", "sink")
-    short = [first.flow(k) for k in slack]
-    shares = _filled([s for _, _, s, _ in cells], size, least)
-    units = [round(x * SCALE) for x in shares]
-    net, arcs = Network(), []
-    rows, columns = {}, {}
+    net, arcs, slack, rows, columns = Network(), [], [], {}, {}
     for i, (r, c, _, have) in enumerate(cells):
         rows[r] = rows.get(r, 0) + units[i]
         columns[c] = columns.get(c, 0) + units[i]
-        base = min(have, least) * SCALE
-        own = [net.arc(("row", r), ("column", c), min(base, units[i]), FLOOR), net.arc(("row", r), ("column", c), max(0, min(have * SCALE, units[i]) - base), WANTED)]
+        net.arc(("row", r), ("cell", i), units[i], 0)
+        floor = min(have, least) * SCALE
+        own = [net.arc(("cell", i), ("column", c), min(floor, units[i]), FLOOR), net.arc(("cell", i), ("column", c), max(0, min(have * SCALE, units[i]) - floor), WANTED)]
         if make_good and have * SCALE > units[i]:
             own.append(net.arc(("row", r), ("column", c), have * SCALE - units[i], EXTRA))
-        net.arc(("row", r), ("column", c), units[i], SLACK)
+        slack.append(net.arc(("cell", i), ("column", c), units[i], SLACK))
         arcs.append(own)
     for r, n in rows.items():
         net.arc("source", ("row", r), n, 0)
     for c, n in columns.items():
         net.arc(("column", c), "sink", n, 0)
     net.run("source", "sink")
+    return net, arcs, slack
+
+
+def quotas(cells: list[tuple], size: int, least: int, make_good: bool = True) -> list[tuple]:
+    """(row, column, needed, available, quota, shortfall) of (row, column, share, available) cells.
+
+    shortfall is what the cell's slack arc carries when every margin asks for all that its cells need; quota the
+    fractional number to draw, which with make_good also makes good what other cells lack while the margins allow.
+    """
+    if not cells:
+        return []
+    want = [needed(s, size, least) for _, _, s, _ in cells]
+    net, _, slack = _margins(cells, [w * SCALE for w in want], least, False)
+    short = [net.flow(k) // SCALE for k in slack]
+    units = [round(x * SCALE) for x in _filled([s for _, _, s, _ in cells], size, least)]
+    net, arcs, _ = _margins(cells, units, least, make_good)
     drawn = [sum(net.flow(k) for k in own) / SCALE for own in arcs]
     return [(r, c, want[i], have, drawn[i], short[i]) for i, (r, c, _, have) in enumerate(cells)]
 
