@@ -19,6 +19,7 @@ def build_session(app: str = "marlstone", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return b.config(map=settings).getOrCreate()
 
@@ -39,12 +40,24 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+#: With it on, Spark deletes a plan's shuffle files as soon as the plan has run.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the shared folder, without its lineage."""
+    """df, computed and kept in the shared folder, without its lineage; the shuffle files it took are deleted at once.
+
+    The kept files go when nothing refers to them any more if spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEAN, before)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
