@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,10 @@ SIG_SHARE, SIG_MOST = 0.002, 1_000
 BUCKET_MOST, BLOCK = 16_384, 8_192
 #: Buckets under this size are compared together.
 SMALL = 40
+#: Signatures of a set that are on disk at a time, and signature rows worth a pass; more are made in further passes.
+AT_ONCE, WORTH = 32, 16_000_000
+#: Signature rows of a task, about: 4 MB are compared in one, and a million are gathered before they are sent.
+TASK_ROWS, SENT_ROWS = 200_000, 1 << 20
 ROW = np.dtype([("sig", "<u4"), ("kl", "<u4"), ("kb", "<u8"), ("sk", "<u4")])
 SETS = "sid string, did string, kb long, kl long, sk long, n int, words binary"
 
@@ -154,7 +159,7 @@ class Plan:
     """The integer bounds of one threshold."""
 
     def __init__(self, threshold: float, min_words: int):
-        self.t = Fraction(threshold).limit_denominator(10_000)
+        self.t, self.min_words = Fraction(threshold).limit_denominator(10_000), min_words
         self.deepest = max(1, min(4, self.overlap(min_words, min_words) - 1))
 
     def overlap(self, a, b):
@@ -216,38 +221,61 @@ def _enumerate(rows, width, words, offsets, n, counts, total, plan, most):
     part = mix(key + np.uint64(0x9E3779B97F4A7C15))
     out_i, out_s = [], []
 
-    def grow(at, chosen, expected, start, depth):
-        """at: rows of this block; start: the next position."""
-        last = lacking[at] + depth
-        for j in range(int(start.min()), min(int(last.max()), width - 1) + 1):
-            ok = (j >= start) & (j <= last) & usable[at, j]
-            if not ok.any():
-                continue
-            a = at[ok]
-            e = expected[ok] * share[a, j]
-            h = mix(chosen[ok] * np.uint64(3) + part[a, j])
-            done = (e <= most) | (depth + 1 >= plan.deepest)
-            if done.any():
+    level = [(np.arange(len(rows)), np.zeros(len(rows), np.uint64), np.full(len(rows), float(total)), np.zeros(len(rows), np.int64))]
+    for depth in range(plan.deepest):
+        after = []
+        for at, chosen, expected, start in level:
+            last = np.minimum(lacking[at] + depth, width - 1)
+            low, high = int(start.min(initial=width)), int(last.max(initial=-1)) + 1
+            step = max(1, (1 << 21) // max(1, high - low))
+            pos = np.arange(low, high)
+            for k in range(0, len(at), step):
+                a, s = at[k : k + step], start[k : k + step, None]
+                i, j = np.nonzero((pos >= s) & (pos <= last[k : k + step, None]) & usable[a, low:high])
+                a, j = a[i], j + low
+                e = expected[k : k + step][i] * share[a, j]
+                h = mix(chosen[k : k + step][i] * np.uint64(3) + part[a, j])
+                done = (e <= most) | (depth + 1 >= plan.deepest)
                 out_i.append(rows[a[done]])
                 out_s.append(h[done])
-            if not done.all():
                 go = ~done
-                grow(a[go], h[go], e[go], np.full(int(go.sum()), j + 1), depth + 1)
-
-    every = np.arange(len(rows))
-    grow(every, np.zeros(len(rows), np.uint64), np.full(len(rows), float(total)), np.zeros(len(rows), np.int64), 0)
+                if go.any():
+                    after.append((a[go], h[go], e[go], j[go] + 1))
+        level = after
     return out_i, out_s
 
 
-def _emit(batches: Iterator[pa.RecordBatch], counts, total: int, plan: Plan, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Blobs of signature rows, one for each bucket and batch; copies of a set that this task has seen lately are skipped."""
-    table, seen = counts.value, set()
+def _rows(batch: pa.RecordBatch, table: np.ndarray, total: int, plan: Plan, slices: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature rows, their 64-bit signatures) of one batch, those of slice own."""
+    kb, kl, sk = (batch.column(i).to_numpy() for i in (0, 1, 2))
+    words, offsets = unpack(batch.column(3))
+    at, sig = signatures(words, offsets, table, total, plan)
+    if slices > 1:
+        keep = (sig >> np.uint64(56)) % np.uint64(slices) == own
+        at, sig = at[keep], sig[keep]
+    rec = np.empty(len(at), dtype=ROW)
+    rec["sig"] = (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    rec["kb"], rec["kl"], rec["sk"] = kb[at].view(np.uint64), kl[at].astype(np.uint32), sk[at].astype(np.uint32)
+    return rec, sig
+
+
+def _emit(batches: Iterator[pa.RecordBatch], counts, total: int, plan: Plan, buckets: int, slices: int = 1, own: int = 0) -> Iterator[pa.RecordBatch]:
+    """Blobs of signature rows by bucket; copies of a set that this task has seen lately are skipped."""
+    table, seen, held = counts.value, set(), []
+
+    def out() -> pa.RecordBatch:
+        rec, sig = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        held.clear()
+        bucket = ((sig >> np.uint64(32) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rec, bucket = rec[order], bucket[order]
+        heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        ends = np.r_[heads[1:], len(bucket)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[heads].astype(np.int32)), pa.array([rec[s:e].tobytes() for s, e in zip(heads, ends)], pa.binary())], names=["bucket", "blob"])
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        kb, kl = (batch.column(i).to_numpy() for i in (0, 1))
         new = []
-        for i, k in enumerate(zip(kb.tolist(), kl.tolist())):
+        for i, k in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
             if k not in seen:
                 seen.add(k)
                 new.append(i)
@@ -255,21 +283,27 @@ def _emit(batches: Iterator[pa.RecordBatch], counts, total: int, plan: Plan, buc
             seen.clear()
         if not new:
             continue
-        batch = batch.take(pa.array(new, pa.int64()))
-        kb, kl, sk = (batch.column(i).to_numpy() for i in (0, 1, 2))
-        words, offsets = unpack(batch.column(3))
-        at, sig = signatures(words, offsets, table, total, plan)
-        if not len(at):
-            continue
-        rec = np.empty(len(at), dtype=ROW)
-        rec["sig"] = (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        rec["kb"], rec["kl"], rec["sk"] = kb[at].view(np.uint64), kl[at].astype(np.uint32), sk[at].astype(np.uint32)
-        bucket = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        rec, bucket = rec[order], bucket[order]
-        heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        ends = np.r_[heads[1:], len(bucket)]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[heads].astype(np.int32)), pa.array([rec[s:e].tobytes() for s, e in zip(heads, ends)], pa.binary())], names=["bucket", "blob"])
+        rec, sig = _rows(batch.take(pa.array(new, pa.int64())), table, total, plan, slices, own)
+        if len(rec):
+            held.append((rec, sig))
+        if sum(len(h[0]) for h in held) >= SENT_ROWS:
+            yield out()
+    if held:
+        yield out()
+
+
+def signature_rows(sets: DataFrame, counts, total: int, plan: Plan) -> int:
+    """About how many signature rows the sets have, from those of a 64th of the word sets by their hash; it sizes tasks only."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            if batch.num_rows:
+                n += len(_rows(batch, counts.value, total, plan, 1, 0)[0])
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    few = sets.where(F.pmod("kl", F.lit(64)) == 0).select("kb", "kl", "sk", "words")
+    return 64 * max(few.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0, total // 64)
 
 
 class _Compare:
@@ -285,6 +319,11 @@ class _Compare:
         self.top = np.maximum.accumulate(np.maximum.accumulate(self.allowed, axis=0), axis=1)
         self.fits = np.array([[plan.overlap(int(lx), int(ly)) <= min(int(x), int(y)) for ly, y in zip(low, a)] for lx, x in zip(low, a)])
 
+    @staticmethod
+    @lru_cache(maxsize=4)
+    def of(threshold: Fraction, min_words: int) -> _Compare:
+        return _Compare(Plan(threshold, min_words))
+
     def refine(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         cx, cy = ((v["kb"] >> np.uint64(50) & np.uint64(63)).astype(np.int64) for v in (x, y))
         far = np.bitwise_count((x["kb"] ^ y["kb"]) & _M50).astype(np.int64) + np.bitwise_count(x["sk"] ^ y["sk"])
@@ -329,10 +368,13 @@ def _compare(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Recor
     for batch in batches:
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             blobs.setdefault(b, []).append(blob)
-    compare = _Compare(plan)
+    compare = _Compare.of(plan.t, plan.min_words)
     for b in list(blobs):
         rec = np.frombuffer(b"".join(blobs.pop(b)), dtype=ROW)
-        rec = rec[np.argsort(rec["sig"], kind="stable")]
+        order = (rec["sig"].astype(np.uint64) << np.uint64(32)) | rec["kl"]
+        at = np.argsort(order)
+        rec, order = rec[at], order[at]
+        rec = rec[np.r_[True, (order[1:] != order[:-1]) | (rec["kb"][1:] != rec["kb"][:-1])]]  # a set that several tasks sent
         sig, kb = rec["sig"], np.ascontiguousarray(rec["kb"])
         heads = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         size = np.diff(np.r_[heads, len(sig)])
@@ -368,7 +410,7 @@ def _compare(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Recor
 
 
 def _work(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    compare = _Compare(plan)
+    compare = _Compare.of(plan.t, plan.min_words)
     for batch in batches:
         for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a = np.frombuffer(x, dtype=ROW)
@@ -407,11 +449,16 @@ def class_pairs(sets: DataFrame, threshold: float, min_words: int) -> DataFrame:
     if not total:
         return spark.createDataFrame([], "kb1 long, kl1 long, kb2 long, kl2 long, similarity double")
     counts = spark.sparkContext.broadcast(cell_counts(sets))  # 2**CELL_BITS numbers, 8 MB at any scale
-    buckets = max(12, total // 10_000)
-    blobs = sets.select("kb", "kl", "sk", "words").mapInArrow(lambda it: _emit(it, counts, total, plan, buckets), "bucket int, blob binary")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)  # some 25 MB each
-    found = blobs.repartition(tasks, "bucket").mapInArrow(lambda it: _compare(it, plan), FOUND)
-    found = cut(found)  # candidates that passed the sketches, and the blocks of the largest buckets
+    rows = signature_rows(sets, counts, total, plan)
+    slices = max(1, -(-rows // max(AT_ONCE * total, WORTH)))
+    tasks = max(rows // slices // TASK_ROWS, min(spark.sparkContext.defaultParallelism, rows // slices // 10_000), 1)
+
+    def candidates(own: int) -> DataFrame:
+        """Candidates that passed the sketches, and the blocks of the largest buckets, of one slice of the signatures."""
+        blobs = sets.select("kb", "kl", "sk", "words").mapInArrow(lambda it: _emit(it, counts, total, plan, tasks, slices, own), "bucket int, blob binary")
+        return cut(blobs.repartitionById(tasks, "bucket").mapInArrow(lambda it: _compare(it, plan), FOUND))
+
+    found = reduce(DataFrame.unionByName, [candidates(own) for own in range(slices)])
     few = found.where("task is null").select("kb1", "kl1", "kb2", "kl2")
     work = found.where("task is not null").repartition("task").select("x", "y").mapInArrow(lambda it: _work(it, plan), "kb1 long, kl1 long, kb2 long, kl2 long")
     pairs = few.unionByName(work).distinct()
@@ -451,7 +498,7 @@ def similar_pairs(df: DataFrame, id_col: str, doc_col: str, text_col: str, thres
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of the graph (a, b): its connected components, root the smallest node. Nodes without edges are absent.
 
-    Large-star and small-star rounds; each shuffles edges alone and at most halves path lengths, none gathers a component.
+    Large-star and small-star rounds; each shuffles edges alone, none gathers a component. It raises if rounds are too few.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(rounds):
@@ -465,6 +512,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         e = new
         if same:
             break
+    else:
+        raise RuntimeError(f"the components did not settle in {rounds} rounds")
     return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct().join(e.select(F.col("u").alias("node")).distinct(), "node", "left_anti"))
 
 
