@@ -34,15 +34,15 @@ SECTION_KEYWORDS = {
 }
 # Sections in order of priority; others follow by name.
 SECTION_PRIORITY = ("ITEM_7", "ITEM_8", "ITEM_1A", "ITEM_1", "ITEM_7A")
-# Words of each risk topic.
+# Phrases of each risk topic.
 RISK_TOPICS = {
     "liquidity_credit": ["liquidity", "cash flow", "cash flows", "cash position", "capital resources", "capital structure", "refinancing", "refinance", "credit facility", "credit facilities", "revolving credit", "covenant", "covenants", "default", "debt maturity", "going concern", "solvency"],
-    "regulatory": ["regulatory", "regulation", "regulations", "laws and regulations", "compliance", "government investigations", "fines", "penalties", "sanctions", "enforcement actions"],
-    "market_competitive": ["competition", "competitive", "market share", "pricing pressure", "demand", "macroeconomic", "economic conditions", "recession", "downturn", "volatility"],
-    "operational_supply_chain": ["operations", "operational", "supply chain", "supply-chain", "supply disruptions", "logistics", "manufacturing", "production facilities", "plant closures", "outages", "business interruption", "natural disaster", "catastrophic events"],
-    "cybersecurity_tech": ["cybersecurity", "cyber security", "cyber", "information security", "data security", "data breach", "security incident", "ransomware", "malware", "hacking", "unauthorized access"],
-    "legal_ip_litigation": ["litigation", "lawsuits", "class action", "legal proceedings", "legal claims", "disputes", "arbitration", "settlement", "judgment", "patent", "intellectual property", "ip rights"],
-    "general_risk": ["risk factors", "risks and uncertainties", "material adverse effect", "adverse effect", "market conditions", "pandemic", "covid-19"],
+    "regulatory": ["regulatory", "regulation", "regulations", "regulatory approval", "regulatory changes", "laws and regulations", "legal and regulatory", "compliance", "government investigations", "regulatory investigations", "fines", "penalties", "sanctions", "enforcement actions"],
+    "market_competitive": ["competition", "competitive", "competitive pressures", "market share", "pricing pressure", "pricing pressures", "demand", "customer demand", "macroeconomic", "economic conditions", "recession", "downturn", "market volatility", "volatility"],
+    "operational_supply_chain": ["operations", "operational", "operating disruptions", "supply chain", "supply-chain", "supply disruptions", "logistics", "manufacturing", "production facilities", "plant closures", "outages", "business interruption", "natural disaster", "catastrophic events"],
+    "cybersecurity_tech": ["cybersecurity", "cyber security", "cyber", "information security", "data security", "data breach", "breach of data", "security incident", "security incidents", "ransomware", "malware", "hacking", "unauthorized access", "privacy", "personal data", "confidential information"],
+    "legal_ip_litigation": ["litigation", "lawsuits", "class action", "legal proceedings", "legal claims", "claims and proceedings", "disputes", "arbitration", "settlement", "judgment", "patent", "patent infringement", "intellectual property", "ip rights"],
+    "general_risk": ["risk factors", "risks and uncertainties", "material adverse effect", "adverse effect", "adverse impacts", "economic conditions", "market conditions", "pandemic", "covid-19", "downturn", "volatility"],
 }
 # Words for metrics.
 METRICS = {
@@ -54,12 +54,32 @@ METRICS = {
 _STOP = frozenset("the and what how was is are were from with".split())
 
 
+def _near_words(words: DataFrame, names: DataFrame, least: float) -> DataFrame:
+    """(w, first): different words of four letters and more within the least similarity.
+
+    Words of n letters may be k = floor((1 - least) n') edits apart, n' the longer length. A name cut into k + 1 pieces
+    keeps one piece whole in such a word, moved by k places at most; so pieces with their place are the keys, for every
+    length a partner can have, and no pair is lost.
+    """
+    long = words.where("length(w) >= 4").select("w").distinct().withColumn("n", F.length("w"))
+    ours = names.select("first").distinct().withColumn("m", F.length("first"))
+    edits = lambda n, m: F.floor((1 - least) * F.greatest(n, m) + 1e-9).cast("int")
+    most = F.floor(F.col("m") / least + 1e-9).cast("int")
+    p = ours.select("first", "m", F.explode(F.sequence(F.ceil(F.col("m") * least - 1e-9).cast("int"), most)).alias("n")).withColumn("k", edits(F.col("n"), F.col("m")))
+    p = p.select("first", "n", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), "m")
+    p = p.withColumn("s", F.floor(F.col("m") * F.col("i") / (F.col("k") + 1)).cast("int")).withColumn("e", F.floor(F.col("m") * (F.col("i") + 1) / (F.col("k") + 1)).cast("int"))
+    p = p.select("first", "n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("s") - F.col("k")), F.col("s") + F.col("k"))).alias("at"), F.expr("substring(first, s + 1, e - s)").alias("piece")).distinct()
+    sizes = ours.agg(F.max("m")).first()[0] or 0  # the longest name bounds the pieces
+    w = long.where(F.col("n") <= int(sizes / least) + 1).select("w", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
+    w = w.select("w", "n", "at", F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("at"), F.lit(max(1, sizes))))).alias("size")).select("w", "n", "at", F.expr("substring(w, at + 1, size)").alias("piece"))
+    return p.join(w, ["n", "at", "piece"]).select("w", "first").distinct().where((F.col("w") != F.col("first")) & (similarity(F.col("w"), F.col("first")) >= least))
+
+
 def companies(questions: DataFrame, universe: DataFrame, question_id: str = "question_id", text: str = "question_text", cik: str = "cik", ticker: str = "ticker", name: str = "company_name", least: float = 0.85) -> DataFrame:
     """(question_id, cik, found_by): companies by ticker (upper-case words of up to five letters), by number, by full name
     or by a word within least similarity of the name's first word of four letters and more; each way once.
 
-    Words are joined by equality; for the fuzzy way only words that share the first or the last three letters and differ
-    by two characters at most are compared, without which 0.85 is out of reach for names up to thirteen letters.
+    Words are joined by equality, the fuzzy way over the distinct words alone.
     """
     q = questions.where(F.col(text).isNotNull()).select(F.col(question_id).alias("question_id"), F.col(text).alias("t"))
     u = universe.where(F.col(cik).isNotNull()).select(F.col(cik).cast("long").alias("cik"), F.upper(F.trim(ticker)).alias("ticker"), F.lower(F.trim(F.regexp_replace(name, r"\s+", " "))).alias("name"))
@@ -70,10 +90,8 @@ def companies(questions: DataFrame, universe: DataFrame, question_id: str = "que
     qw = q.select("question_id", F.lower("t").alias("t"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"(\w+)"), F.lit(1)))).alias("w"))
     by_name = qw.join(names.withColumnRenamed("first", "w"), "w").where(F.contains("t", "name")).select("question_id", "cik", F.lit("name").alias("found_by"))
     n = names.where("length(first) >= 4").select("cik", "first").distinct()
-    ends = lambda c: F.array(F.concat(F.lit("^"), F.substring(c, 1, 3)), F.concat(F.lit("$"), F.right(F.col(c), F.lit(3))))
-    a = qw.where("length(w) >= 4").select("question_id", "w", F.explode(ends("w")).alias("k"))
-    b = n.select("cik", "first", F.explode(ends("first")).alias("k"))
-    fuzzy = a.join(b, "k").where((F.abs(F.length("w") - F.length("first")) <= 2) & (similarity(F.col("w"), F.col("first")) >= least) & (F.col("w") != F.col("first"))).select("question_id", "cik", F.lit("fuzzy").alias("found_by"))
+    a = qw.where("length(w) >= 4").select("question_id", "w").join(_near_words(qw.select("w"), n.select("first"), least), "w").select("question_id", "first")
+    fuzzy = a.join(n, "first").select("question_id", "cik", F.lit("fuzzy").alias("found_by"))
     return by_ticker.unionByName(by_cik).unionByName(by_name).unionByName(fuzzy).distinct()
 
 

@@ -9,7 +9,7 @@ from marlstone.functions.text import AFTER, BEFORE, has_word
 # The alternatives of each flag; stems are whole words here, as in the data's own convention.
 KPI = "revenue|sales|gross margin|operating margin|net margin|cost|expense|income|earnings|ebitda|cash flow|profit|loss|asset|liability|equity|debt|eps|roe|roa|operating income|net income|gross profit"
 FORWARD = "expects?|expected|forecasts?|forecasted|plans?|planned|anticipates?|anticipated|believes?|believed|estimates?|estimated|projects?|projected|intends?|intended|guidance|outlook|targets?|targeted"
-COMPARISON = "increas|decreas|compar|prior|previous|year-over-year|yoy|y/y|quarter-over-quarter|qoq|q/q|versus|compared to|change|growth|decline"
+COMPARISON = r"increas|decreas|compar|prior|previous|year-over-year|yoy|y/y|quarter-over-quarter|qoq|q/q|versus|vs\.|compared to|change|growth|decline"
 MATERIAL = "significant|material|substantially|primarily|approximately|considerable|major|critical|key|important"
 RISK = "risks?|material adverse|uncertain|uncertainty|volatility|exposure to|regulatory risk|regulatory scrutiny|compliance risk|litigation risk|threat|vulnerab"
 SAFE_HARBOR = "forward-looking statement|safe harbor|private securities litigation reform act|actual results may differ|risk factors described"

@@ -46,6 +46,22 @@ def pick_by_alias(facts: DataFrame, entity: str, year: str, label: str, value: s
     return best.groupBy(entity, year).pivot("figure", list(aliases)).agg(F.max("v"))
 
 
+def sum_by_alias(facts: DataFrame, entity: str, year: str, label: str, value: str, aliases: Sequence[str], name: str) -> DataFrame:
+    """(entity, year, name): the sum over all aliases that an entity has in a year; years without any value stay null.
+
+    Labels are compared trimmed and in lower case; of repeated rows of a label and year the greatest value counts.
+    """
+    wanted = sorted({a.strip().lower() for a in aliases})
+    rows = facts.where(F.col(year).isNotNull()).select(entity, year, F.lower(F.trim(label)).alias("alias"), F.col(value).cast("double").alias("v")).where(F.col("alias").isin(*wanted))
+    return rows.groupBy(entity, year, "alias").agg(F.max("v").alias("v")).groupBy(entity, year).agg(F.sum("v").alias(name))
+
+
+def search(facts: DataFrame, term: str, metric: str = "metric", n: int | None = None) -> DataFrame:
+    """The facts whose metric holds the term whatever its letter case, the shortest metric names first; n of them if given."""
+    hit = facts.where(F.contains(F.lower(F.col(metric)), F.lit(term.lower())))
+    return hit.orderBy(F.length(metric), *facts.columns).limit(n) if n else hit
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is null or 0."""
     return F.try_divide(a.cast("double"), F.when(b != 0, b.cast("double")))

@@ -76,8 +76,8 @@ def row_hash(*parts: Column) -> Column:
 
 
 def keep_share(df: DataFrame, key: str, percent: int, modulus: int = 100) -> DataFrame:
-    """A uniform sample that a key is in or out of for good: its hash modulo modulus is under percent."""
-    return df.where(F.pmod(F.xxhash64(key), F.lit(modulus)) < percent)
+    """A uniform sample that a key is in or out of for good: 32 bits of its digest modulo modulus are under percent."""
+    return df.where(F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(modulus)) < percent)
 
 
 def uniform_sample(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:

@@ -216,21 +216,25 @@ def update_lineage(meta: DataFrame, run: DataFrame, key: str, columns: Sequence[
     return j.withColumns({c: F.when(F.col("_hit").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}).select(*meta.columns)
 
 
-def greedy_batches(df: DataFrame, key: str, tokens: str, most_rows: int, most_tokens: int, partitions: int | None = None) -> DataFrame:
+def greedy_batches(df: DataFrame, key: str, tokens: str, most_rows: int, most_tokens: int, partitions: int | None = None, group: Column | None = None) -> DataFrame:
     """(key, tokens, batch): rows in key order packed into batches of at most most_rows rows and most_tokens tokens.
 
-    Rows of more than most_tokens alone are outliers with a null batch. Packing is sequential within a range of keys;
-    batches are named by range, so no task sees more than its range.
+    Rows of more than most_tokens alone are outliers with a null batch. Packing is sequential within a range of keys:
+    the values of group, which name the batches for good, or else ranges that Spark cuts. Null tokens count 0.
     """
-    src = df.select(F.col(key).alias("key"), F.col(tokens).cast("long").alias("tokens"))
-    src = (src.repartitionByRange(partitions, "key") if partitions else src.repartitionByRange("key")).sortWithinPartitions("key")
-    src = src.withColumn("part", F.spark_partition_id())
+    src = df.select(F.col(key).alias("key"), F.col(tokens).cast("long").alias("tokens"), *([group.cast("string").alias("part")] if group is not None else []))
+    if group is not None:
+        src = src.repartition("part").sortWithinPartitions("part", "key")
+    else:
+        src = (src.repartitionByRange(partitions, "key") if partitions else src.repartitionByRange("key")).sortWithinPartitions("key").withColumn("part", F.spark_partition_id().cast("string"))
 
     def pack(it):
-        batch, n, t = 0, 0, 0
+        batch, n, t, own = 0, 0, 0, None
         for pdf in it:
             out = []
             for k, tok, part in zip(pdf["key"], pdf["tokens"], pdf["part"]):
+                if part != own:
+                    batch, n, t, own = 0, 0, 0, part
                 tok = 0 if pd.isna(tok) else int(tok)
                 if tok > most_tokens:
                     out.append((k, tok, None))

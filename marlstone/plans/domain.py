@@ -86,16 +86,20 @@ def uniform_sample(spark, d):
     return sampling.uniform_sample(table(spark, d, "corpus_tagged").where("sentenceID is not null").select("sentenceID").distinct(), "sentenceID", 500, "7")
 
 
-@query()
+@query("SELECT sentenceID FROM (SELECT DISTINCT sentenceID FROM corpus_tagged WHERE sentenceID IS NOT NULL) WHERE CAST('0x' || substr(md5(sentenceID), 1, 8) AS BIGINT) % 100 < 14")
 def hash_keep(spark, d):
     return sampling.keep_share(table(spark, d, "corpus_tagged").select("sentenceID").distinct(), "sentenceID", 14)
 
 
-@query()
+@query(f"""WITH {_TAGGED}, {_ALLOC}, {_IDS}, sm AS (SELECT * FROM ids WHERE rn <= stratum_n), m AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT sentenceID)::DOUBLE AS k, (count(*) - count(sentenceID))::DOUBLE AS nk, (SELECT sample_size_n FROM params) AS want FROM sm),
+cov AS (SELECT 'V4_entity_coverage' AS check_name, (SELECT count(DISTINCT cik_int) FROM sm) AS a, (SELECT count(DISTINCT cik_int) FROM tagged) AS b UNION ALL SELECT 'V5_bin_coverage', (SELECT count(DISTINCT temporal_bin) FROM sm), (SELECT count(DISTINCT b) FROM tagged) UNION ALL SELECT 'V6_year_coverage', (SELECT count(DISTINCT report_year) FROM sm), (SELECT count(DISTINCT report_year) FROM tagged) UNION ALL SELECT 'V7_section_coverage', (SELECT count(DISTINCT section) FROM sm), (SELECT count(DISTINCT section) FROM tagged)),
+i AS (SELECT max(c)::DOUBLE / min(c) AS x FROM (SELECT count(*) AS c FROM sm GROUP BY temporal_bin)), st AS (SELECT count(*)::DOUBLE AS x FROM sm WHERE sentenceID NOT IN (SELECT sentenceID FROM tagged)),
+v AS (SELECT 'V1_size' AS check_name, n AS value, abs(n - want) <= 0.25 * want AS good FROM m UNION ALL SELECT 'V2_unique_keys', k, k = n FROM m UNION ALL SELECT 'V3_null_keys', nk, nk = 0 FROM m UNION ALL SELECT check_name, a * 100.0::DOUBLE / greatest(b, 1), a = b FROM cov UNION ALL SELECT 'V8_imbalance', x, x < 100 FROM i UNION ALL SELECT 'V9_stray_keys', x, x = 0 FROM st)
+SELECT check_name, round(value, 6) AS value, CASE WHEN good THEN 'PASS' ELSE 'FAIL' END AS status FROM v""")
 def sample_validation(spark, d):
     t = _tagged(spark, d)
     size = table(spark, d, "params").first()["sample_size_n"]
-    return quality.validate_sample(_ids(spark, d), t, size, "sentenceID", "cik_int", "report_year", "section", "temporal_bin", tolerance=0.25)
+    return quality.validate_sample(_ids(spark, d), t, size, "sentenceID", "cik_int", "report_year", "section", "temporal_bin", tolerance=0.25).withColumn("value", F.round("value", 6))
 
 
 # --- flags ----------------------------------------------------------------------------------------------------------
@@ -215,7 +219,7 @@ def subset_modern(spark, d):
 
 @query("""WITH b AS (SELECT docID, sentenceID FROM v_sample_1m_core WHERE load_method <> 'late_backfill'), n AS (SELECT docID, sentenceID FROM v_sample_1m_core WHERE load_method = 'late_backfill'), t AS (SELECT count(*) AS n FROM b), i AS (SELECT count(*) AS n FROM n)
 SELECT 'delete_by_group' AS strategy, count(*) AS deleted, (SELECT n FROM i) AS inserted, count(CASE WHEN sentenceID NOT IN (SELECT sentenceID FROM n) THEN 1 END) AS lost, round(count(CASE WHEN sentenceID NOT IN (SELECT sentenceID FROM n) THEN 1 END) * 100.0 / (SELECT n FROM t), 6) AS lost_pct FROM b WHERE docID IN (SELECT docID FROM n)
-UNION ALL SELECT 'delete_by_key', count(*), (SELECT n FROM i), 0, CAST(0 AS DOUBLE) FROM b WHERE sentenceID IN (SELECT sentenceID FROM n)""")
+UNION ALL SELECT 'delete_by_key', count(*), (SELECT n FROM i), count(CASE WHEN sentenceID NOT IN (SELECT sentenceID FROM n) THEN 1 END), round(count(CASE WHEN sentenceID NOT IN (SELECT sentenceID FROM n) THEN 1 END) * 100.0 / (SELECT n FROM t), 6) FROM b WHERE sentenceID IN (SELECT sentenceID FROM n)""")
 def upsert_simulation(spark, d):
     c = table(spark, d, "v_sample_1m_core")
     return curation.upsert_simulation(c.where("load_method <> 'late_backfill'"), c.where("load_method = 'late_backfill'"), "docID", "sentenceID").withColumn("lost_pct", F.round("lost_pct", 6))
@@ -291,7 +295,8 @@ def expectation_suite(spark, d):
     return quality.check_expectations(table(spark, d, "v_sample_1m_core"), [E("not_null", "sentenceID"), E("between", "report_year", (2006, 2020)), E("in_set", "form", ("10-K",)), E("unique", "sentenceID"), E("length", "sentence", (10, 10000)), E("column_count", None, (24,)), E("exists", "no_such")])
 
 
-@query()
+@query("""WITH have AS (SELECT column_name FROM (DESCRIBE SELECT * FROM v_sample_1m_core)), w(column_name, phase) AS (VALUES ('cik', 'strict'), ('sentenceID', 'strict'), ('sentence', 'strict'), ('section_item', 'strict'), ('likely_kpi', 'derived'), ('row_hash', 'derived'))
+SELECT column_name, phase, CASE WHEN column_name IN (SELECT column_name FROM have) THEN 'present' ELSE 'missing' END AS status FROM w UNION ALL SELECT column_name, 'extra', 'unexpected' FROM have WHERE column_name NOT IN (SELECT column_name FROM w)""")
 def schema_contract(spark, d):
     return quality.contract(table(spark, d, "v_sample_1m_core"), ["cik", "sentenceID", "sentence", "section_item"], ["likely_kpi", "row_hash"])
 
@@ -308,13 +313,12 @@ def contiguity(spark, d):
 
 # --- metrics --------------------------------------------------------------------------------------------------------
 
-_YEARLY = "f AS (SELECT c_mktsegment AS entity, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) AS value FROM orders JOIN customer ON c_custkey = o_custkey WHERE year(o_orderdate) <= 2000 GROUP BY 1, 2)"
+_YEARLY = "f AS (SELECT c_mktsegment AS entity, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) AS value FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)"
 
 
-def _yearly(spark, d, last=2000):
-    """last: the last year, as in the SQL; None for all years."""
+def _yearly(spark, d):
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    return (o if last is None else o.where(F.year("o_orderdate") <= last)).join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_mktsegment").alias("entity"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("value"))
+    return o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_mktsegment").alias("entity"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("value"))
 
 
 @query(f"""WITH {_YEARLY}, t AS (SELECT entity, min(year) AS first_year, max(year) AS last_year, arg_min(value, year) AS first_value, arg_max(value, year) AS last_value FROM f GROUP BY 1)
@@ -330,23 +334,33 @@ def yoy(spark, d):
     return kpi.yoy(_yearly(spark, d), ["entity"], "year", "value").withColumns({"value": F.round("value", 2), "previous": F.round("previous", 2), "yoy_pct": F.round("yoy_pct", 6)})
 
 
-@query(f"""WITH {_YEARLY}, g AS (SELECT e.entity, y.year FROM (VALUES ('BUILDING'), ('MACHINERY'), ('NOBODY')) e(entity) CROSS JOIN (SELECT CAST(unnest(range(1994, 1998)) AS INTEGER) AS year) y), j AS (SELECT g.*, f.value FROM g LEFT JOIN f USING (entity, year))
-SELECT count(*) AS total, count(value) AS in_db, count(value) AS found, CAST(0 AS BIGINT) AS nan, count(*) - count(value) AS not_in_db, round(count(value) * 100.0 / count(*), 6) AS found_pct FROM j""")
+@query(f"""WITH {_YEARLY}, g AS (SELECT e.entity, y.year FROM (VALUES ('BUILDING'), ('MACHINERY'), ('NOBODY')) e(entity) CROSS JOIN (SELECT CAST(unnest(range(1994, 1998)) AS INTEGER) AS year) y), j AS (SELECT g.*, x.value, x.i FROM g LEFT JOIN (SELECT *, 1 AS i FROM f) x USING (entity, year))
+SELECT count(*) AS total, count(i) AS in_db, count(value) AS found, count(CASE WHEN i = 1 AND value IS NULL THEN 1 END) AS nan, count(*) - count(i) AS not_in_db, round(count(value) * 100.0 / count(*), 6) AS found_pct FROM j""")
 def kpi_grid_coverage(spark, d):
     g = spark.createDataFrame([("BUILDING",), ("MACHINERY",), ("NOBODY",)], "entity string").crossJoin(spark.range(1994, 1998).select(F.col("id").cast("int").alias("year")))
     return kpi.lookup_stats(kpi.lookup(g, _yearly(spark, d), ["entity", "year"], "value")).withColumn("found_pct", F.round("found_pct", 6))
 
 
-def _statement(spark, d, last=2000):
-    """Statement lines made of yearly totals, one label a figure and segment."""
-    y = _yearly(spark, d, last)
-    v = F.col("value")
-    lines = {"Total revenues and other income": v, "Net Income": v * 0.1, "Total Assets": v * 2, "Liabilities": v * 0.8, "Total equity": v * 1.2, "AssetsCurrent": v * 0.5, "LiabilitiesCurrent": v * 0.25, "Inventory": v * 0.125, "Gross Profit": v * 0.4, "Selling, General and Administrative Expense": v * 0.15, "Research and Development Expense": v * 0.05, "Net Cash from Operating Activities": v * 0.3, "Capital Expenditures": -v * 0.1}
-    return y.select("entity", "year", F.inline(F.array(*(F.struct(F.lit(k).alias("label"), x.alias("amount")) for k, x in lines.items()))))
+def _statement(spark, d):
+    """Statement lines made of yearly totals by status and priority, one label a figure and segment."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    of = lambda by, x: F.sum(F.when(F.col(by) == x, F.col("o_totalprice")))
+    lines = {
+        "Total revenues and other income": F.sum("o_totalprice"), "Net Income": of("o_orderpriority", "1-URGENT"), "Total Assets": F.sum("o_totalprice") * 2, "Liabilities": of("o_orderstatus", "F"), "Total equity": of("o_orderstatus", "O"),
+        "AssetsCurrent": of("o_orderpriority", "2-HIGH"), "LiabilitiesCurrent": of("o_orderpriority", "3-MEDIUM"), "Inventory": of("o_orderstatus", "P") * 0.125, "Gross Profit": of("o_orderpriority", "4-NOT SPECIFIED"), "Selling, General and Administrative Expense": of("o_orderpriority", "5-LOW") * 0.5,
+        "Research and Development Expense": of("o_orderstatus", "P") * 0.25, "Net Cash from Operating Activities": of("o_orderpriority", "1-URGENT") * 0.75, "Capital Expenditures": -of("o_orderpriority", "5-LOW") * 0.1,
+    }
+    y = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_mktsegment").alias("entity"), F.year("o_orderdate").alias("year")).agg(*(x.alias(f"x{i}") for i, x in enumerate(lines.values())))
+    return y.select("entity", "year", F.inline(F.array(*(F.struct(F.lit(k).alias("label"), F.col(f"x{i}").alias("amount")) for i, k in enumerate(lines)))))
+
+
+_RATIOS = """st AS (SELECT c_mktsegment AS entity, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) AS t, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) AS u, sum(CASE WHEN o_orderpriority = '2-HIGH' THEN o_totalprice END) AS h, sum(CASE WHEN o_orderpriority = '3-MEDIUM' THEN o_totalprice END) AS m, sum(CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN o_totalprice END) AS n,
+sum(CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice END) AS l, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS f, sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS o, sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) AS q FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
+pv AS (SELECT *, lag(t) OVER (PARTITION BY entity ORDER BY year) AS t0, lag(o) OVER (PARTITION BY entity ORDER BY year) AS o0 FROM st),
+ratios AS (SELECT entity, year, m.k AS metric, m.v AS value FROM pv, LATERAL (VALUES ('Net Profit Margin %', u / nullif(t, 0) * 100), ('Operating Margin %', (n - l * 0.5 - q * 0.25) / nullif(t, 0) * 100), ('ROA % (Avg Assets)', u / nullif((t * 2 + t0 * 2) / 2, 0) * 100), ('ROE % (Avg Equity)', u / nullif((o + o0) / 2, 0) * 100), ('Current Ratio', h / nullif(m, 0)), ('Quick Ratio', (h - q * 0.125) / nullif(m, 0)), ('Debt-to-Equity', f / nullif(o, 0)), ('Debt-to-Assets', f / nullif(t * 2, 0)), ('Free Cash Flow', u * 0.75 - l * 0.1), ('Operating Cash Flow Ratio', u * 0.75 / nullif(m, 0))) m(k, v) WHERE m.v IS NOT NULL)"""
 
 
-@query(f"""WITH {_YEARLY}, p AS (SELECT *, lag(value) OVER (PARTITION BY entity ORDER BY year) AS q FROM f)
-SELECT entity, year, m.k AS metric, round(m.v, 4) AS value FROM p, LATERAL (VALUES ('Net Profit Margin %', CAST(10 AS DOUBLE)), ('Operating Margin %', CAST(20 AS DOUBLE)), ('ROA % (Avg Assets)', value * 0.1 / ((value * 2 + q * 2) / 2) * 100), ('ROE % (Avg Equity)', value * 0.1 / ((value * 1.2 + q * 1.2) / 2) * 100), ('Current Ratio', CAST(2 AS DOUBLE)), ('Quick Ratio', CAST(1.5 AS DOUBLE)), ('Debt-to-Equity', 0.8::DOUBLE / 1.2), ('Debt-to-Assets', CAST(0.4 AS DOUBLE)), ('Free Cash Flow', value * 0.2), ('Operating Cash Flow Ratio', CAST(1.2 AS DOUBLE))) m(k, v) WHERE m.v IS NOT NULL""")
+@query(f"WITH {_RATIOS} SELECT entity, year, metric, round(value, 4) AS value FROM ratios")
 def kpi_ratios(spark, d):
     f = kpi.pick_by_alias(_statement(spark, d), "entity", "year", "label", "amount")
     return kpi.derive(f, "entity", "year").withColumn("value", F.round("value", 4))
@@ -365,9 +379,10 @@ def latest_filed(spark, d):
     return kpi.latest_filed(o, ["o_custkey", "y"], "o_orderdate", ["o_orderkey"]).select("o_custkey", "y", "o_orderkey")
 
 
-@query()
+@query(f"""WITH {_RATIOS}, shown AS (SELECT *, CASE WHEN contains(metric, '%') THEN printf('%.1f%%', value) WHEN regexp_matches(metric, '(?i)ratio|debt-to|quick|current') THEN printf('%.2f', value + 1e-9) ELSE CASE WHEN value < 0 THEN '-' ELSE '' END || '$' || CASE WHEN abs(value) >= 1e9 THEN printf('%.1fB', abs(value) / 1e9) WHEN abs(value) >= 1e6 THEN printf('%.1fM', abs(value) / 1e6) WHEN abs(value) >= 1e3 THEN printf('%.1fK', abs(value) / 1e3) ELSE printf('%.2f', abs(value)) END END AS x FROM ratios)
+SELECT entity, string_agg(metric || ' ' || year || ': ' || x, chr(10) ORDER BY metric, year) AS block FROM shown GROUP BY 1""")
 def kpi_block(spark, d):
-    f = kpi.derive(kpi.pick_by_alias(_statement(spark, d, None), "entity", "year", "label", "amount"), "entity", "year")
+    f = kpi.derive(kpi.pick_by_alias(_statement(spark, d), "entity", "year", "label", "amount"), "entity", "year")
     return kpi.kpi_lines(f, "entity", "year", "metric", "value")
 
 
@@ -409,9 +424,9 @@ def hit_dedupe(spark, d):
 
 
 @query(f"""WITH {_HITS}, x AS (SELECT *, CASE WHEN list_contains(sources, 'filtered') THEN 'filtered' ELSE 'global' END AS ps FROM dd), y AS (SELECT *, row_number() OVER (PARTITION BY query_id, ps ORDER BY distance, id) AS rn, count(CASE WHEN ps = 'filtered' THEN 1 END) OVER (PARTITION BY query_id) AS f, count(CASE WHEN ps = 'global' THEN 1 END) OVER (PARTITION BY query_id) AS g FROM x),
-z AS (SELECT *, 30 - least(f, 22) - least(g, 7) AS l FROM y) SELECT query_id, ps AS primary_source, count(*) AS n FROM z WHERE CASE WHEN ps = 'filtered' THEN rn <= 22 + CASE WHEN f > 22 THEN l ELSE 0 END ELSE rn <= 7 + CASE WHEN f > 22 THEN 0 ELSE l END END GROUP BY 1, 2""")
+z AS (SELECT *, 30 - least(f, 22) - least(g, 7) AS l FROM y) SELECT query_id, id, ps AS primary_source, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS final_rank FROM z WHERE CASE WHEN ps = 'filtered' THEN rn <= 22 + CASE WHEN f > 22 THEN l ELSE 0 END ELSE rn <= 7 + CASE WHEN f > 22 THEN 0 ELSE l END END""")
 def proportional_topk(spark, d):
-    return vectors.proportional(_hits(spark, d), "query_id", 30).groupBy("query_id", "primary_source").agg(F.count("*").alias("n"))
+    return vectors.proportional(_hits(spark, d), "query_id", 30).select("query_id", "id", "primary_source", F.round("distance", 6).alias("distance"), "final_rank")
 
 
 @query(f"""WITH {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rk FROM s), o AS (SELECT query_id, rk FROM r WHERE id = query_id AND rk <= 21), w AS (SELECT query_id, same, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS rr FROM r WHERE id <> query_id AND rk <= 21), f AS (SELECT query_id, min(rr) AS fh FROM w WHERE same GROUP BY 1)
@@ -443,7 +458,7 @@ def embedding_gaps(spark, d):
     return g.withColumn("gap_pct", F.round("gap_pct", 6))
 
 
-@query("SELECT count(*) AS n_rows, count(CASE WHEN len(embedding) <> 64 THEN 1 END) AS wrong_dims, CAST(0 AS BIGINT) AS collisions FROM documents JOIN embeddings ON vec_id = doc_id")
+@query("SELECT count(*) AS n_rows, count(CASE WHEN len(embedding) <> 64 THEN 1 END) AS wrong_dims, count(DISTINCT doc_id) - count(DISTINCT hash(doc_id)) AS collisions FROM documents JOIN embeddings ON vec_id = doc_id")
 def stage_build(spark, d):
     return vectors.build_stage(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "embedding", 64)[1]
 
@@ -454,10 +469,12 @@ def filter_grammar(spark, d):
     return table(spark, d, "v_sample_1m_core").where(vectors.compile_filter(spec, ["report_year", "section_name", "cik_int"])).select("sentenceID", "row_hash")
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n, doc_id // 500 AS g FROM documents), s AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) AS i FROM x WHERE n <= 15000),
+r AS (SELECT g, i, n, 0 AS b, 1 AS c, n AS t FROM s WHERE i = 1 UNION ALL SELECT s.g, s.i, s.n, CASE WHEN r.c >= 96 OR r.t + s.n > 15000 THEN r.b + 1 ELSE r.b END, CASE WHEN r.c >= 96 OR r.t + s.n > 15000 THEN 1 ELSE r.c + 1 END, CASE WHEN r.c >= 96 OR r.t + s.n > 15000 THEN s.n ELSE r.t + s.n END FROM r JOIN s ON s.g = r.g AND s.i = r.i + 1)
+SELECT g || '-' || b AS batch, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS tokens FROM r GROUP BY g, b UNION ALL SELECT NULL, count(*), CAST(sum(n) AS BIGINT) FROM x WHERE n > 15000 HAVING count(*) > 0""")
 def token_batches(spark, d):
     t = table(spark, d, "documents").withColumn("n", F.length("text"))
-    return vectors.greedy_batches(t, "doc_id", "n", 96, 15_000).groupBy("batch").agg(F.count("*").alias("n_rows"), F.sum("tokens").alias("tokens"))
+    return vectors.greedy_batches(t, "doc_id", "n", 96, 15_000, group=F.floor(F.col("doc_id") / 500)).groupBy("batch").agg(F.count("*").alias("n_rows"), F.sum("tokens").alias("tokens"))
 
 
 # --- neighbours -----------------------------------------------------------------------------------------------------
@@ -476,22 +493,26 @@ def prev_next_links(spark, d):
     return context.enrich(c, "sentenceID", "sentence").select("sentenceID", "prev_id", "next_id", "char_length", "section_count")
 
 
-@query(f"WITH {_POS}, h AS (SELECT * FROM c WHERE pos % 20 = 4) SELECT h.sentenceID AS hit, c.sentenceID AS sentenceID, c.pos = h.pos AS is_core FROM h JOIN c ON c.pre = h.pre AND c.pos BETWEEN greatest(0, h.pos - 3) AND h.pos + 3")
+@query(f"WITH {_POS}, h AS (SELECT * FROM c) SELECT h.sentenceID AS hit, c.sentenceID AS sentenceID, c.pos = h.pos AS is_core FROM h JOIN c ON c.pre = h.pre AND c.pos BETWEEN greatest(0, h.pos - 3) AND h.pos + 3")
 def window_expand(spark, d):
     c = _positions(spark, d)
-    h = c.where("pos % 20 = 4").select(F.col("sentenceID").alias("hit"), "pre", "pos")
+    h = c.select(F.col("sentenceID").alias("hit"), "pre", "pos")
     return context.expand(h, c, ["pre"], "pos", 3, keep=["sentenceID"]).select("hit", "sentenceID", "is_core")
 
 
-@query(f"WITH {_POS}, h AS (SELECT * FROM c WHERE pos % 6 = 1) SELECT c.sentenceID, bool_or(c.pos = h.pos) AS is_core, min(abs(c.pos - h.pos)) AS distance FROM h JOIN c ON c.pre = h.pre AND c.pos BETWEEN greatest(0, h.pos - 3) AND h.pos + 3 GROUP BY 1")
+@query(f"""WITH {_POS}, h AS (SELECT *, CASE WHEN length(sentence) > 120 THEN 'filtered' ELSE 'global' END AS source, CASE WHEN length(sentence) > 120 THEN 0 ELSE 1 END AS variant FROM c) SELECT c.sentenceID, bool_or(c.pos = h.pos) AS is_core, min(abs(c.pos - h.pos)) AS distance, list(DISTINCT source ORDER BY source) AS sources, list(DISTINCT variant ORDER BY variant) AS variant_ids, min(c.docID) AS docID
+FROM h JOIN c ON c.pre = h.pre AND c.pos BETWEEN greatest(0, h.pos - 3) AND h.pos + 3 GROUP BY 1""")
 def sentence_dedupe(spark, d):
     c = _positions(spark, d)
-    h = c.where("pos % 6 = 1").select("pre", "pos").withColumns({"sources": F.array(F.lit("filtered")), "variant_ids": F.array(F.lit(0))})
+    long = F.coalesce(F.length("sentence") > 120, F.lit(False))
+    h = c.select("pre", "pos", F.array(F.when(long, "filtered").otherwise("global")).alias("sources"), F.array(F.when(long, 0).otherwise(1)).alias("variant_ids"))
     e = context.expand(h, c, ["pre"], "pos", 3, keep=["sentenceID", "docID"]).withColumn("distance", F.abs(F.col("pos") - F.col("hit_pos")))
-    return context.dedupe_expanded(e, ["sentenceID"], ["docID"]).select("sentenceID", "is_core", "distance")
+    return context.dedupe_expanded(e, ["sentenceID"], ["docID"])
 
 
-@query()
+@query(f"""WITH {_POS}, e AS (SELECT DISTINCT h.docID AS query_id, c.sentenceID, c.pre, c.pos, c.sentence FROM c h JOIN c ON c.pre = h.pre AND c.pos BETWEEN greatest(0, h.pos - 2) AND h.pos + 2),
+b AS (SELECT query_id, pre, count(*) AS n, '=== Doc: ' || pre || ' | Sentences: ' || arg_min(sentenceID, pos) || ' - ' || arg_max(sentenceID, pos) || ' ===' || chr(10) || coalesce(string_agg(sentence, ' ' ORDER BY pos), '') AS t FROM e GROUP BY 1, 2)
+SELECT query_id, string_agg(t, chr(10) || chr(10) ORDER BY pre) AS context, CAST(sum(n) AS BIGINT) AS n_sentences FROM b GROUP BY 1""")
 def context_assembly(spark, d):
     c = _positions(spark, d)
     h = c.select(F.col("docID").alias("query_id"), "pre", "pos")
@@ -528,16 +549,16 @@ def risk_atlas(spark, d):
     return mining.risk_atlas(_core(spark, d), "sentence", "section_name", ["sentenceID"])
 
 
-@query(f"WITH {_CORE}, {_KPI} SELECT cik_int, kpi_label AS topic_label, list(DISTINCT report_year ORDER BY report_year) AS years, count(*) AS n_sentences FROM k WHERE kpi_label IS NOT NULL AND report_year IS NOT NULL AND regexp_matches(sentence, '{_RE2(mining.CAUSAL)}') GROUP BY 1, 2 HAVING count(DISTINCT report_year) >= 2")
+@query(f"WITH {_CORE}, {_KPI} SELECT cik_int, kpi_label AS topic_label, list(DISTINCT report_year ORDER BY report_year) AS years, count(*) AS n_sentences, list(sentenceID ORDER BY report_year, sentenceID)[1:5] AS ids, list(sentence ORDER BY report_year, sentenceID)[1:5] AS texts FROM k WHERE kpi_label IS NOT NULL AND report_year IS NOT NULL AND regexp_matches(sentence, '{_RE2(mining.CAUSAL)}') GROUP BY 1, 2 HAVING count(DISTINCT report_year) >= 1")
 def trend_bundles(spark, d):
     k = mining.kpi_scan(_core(spark, d), "sentence", ["sentenceID", "cik_int", "report_year", "sentence"])
-    return mining.trend_bundles(k, ["cik_int"], "kpi_label", "report_year", "sentenceID", "sentence", "kpi_trend").select("cik_int", "topic_label", "years", "n_sentences")
+    return mining.trend_bundles(k, ["cik_int"], "kpi_label", "report_year", "sentenceID", "sentence", "kpi_trend", least_years=1).select("cik_int", "topic_label", "years", "n_sentences", F.col("sentences.id").alias("ids"), F.col("sentences.text").alias("texts"))
 
 
-@query(f"WITH {_CORE}, {_KPI} SELECT kpi_label AS topic_label, report_year AS year, count(DISTINCT cik_int) AS n_companies FROM k WHERE kpi_label IS NOT NULL AND report_year IS NOT NULL AND regexp_matches(sentence, '{_RE2(mining.CAUSAL)}') GROUP BY 1, 2 HAVING count(DISTINCT cik_int) >= 2")
+@query(f"WITH {_CORE}, {_KPI} SELECT kpi_label AS topic_label, report_year AS year, count(DISTINCT cik_int) AS n_companies, list(id ORDER BY id)[1:5] AS ids FROM (SELECT kpi_label, report_year, cik_int, min(sentenceID) AS id FROM k WHERE kpi_label IS NOT NULL AND report_year IS NOT NULL AND cik_int IS NOT NULL AND regexp_matches(sentence, '{_RE2(mining.CAUSAL)}') GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING count(DISTINCT cik_int) >= 1")
 def cross_company_bundles(spark, d):
     k = mining.kpi_scan(_core(spark, d), "sentence", ["sentenceID", "cik_int", "report_year", "sentence"]).where("cik_int is not null")
-    return mining.cross_company_bundles(k, "cik_int", "kpi_label", "report_year", "sentenceID", "sentence").select("topic_label", "year", "n_companies")
+    return mining.cross_company_bundles(k, "cik_int", "kpi_label", "report_year", "sentenceID", "sentence", most=1_000_000, least=1).select("topic_label", "year", "n_companies", F.slice(F.array_sort("ids"), 1, 5).alias("ids"))
 
 
 @query(f"WITH {_CORE} SELECT cik_int, report_year, min(sentenceID) AS id FROM s WHERE regexp_matches(sentence, '{_RE2(mining.DEFINITION)}') GROUP BY 1, 2")
@@ -550,18 +571,26 @@ def length_profile(spark, d):
     return mining.length_profile(table(spark, d, "v_sample_1m_core"), "section_name", "sentence", 300).withColumn("mean_chars", F.round("mean_chars", 6))
 
 
-@query("SELECT section_name, count(*) AS n, round(avg(regexp_matches(sentence, '\\$\\s?\\d')::INT), 6) AS amount, round(avg(regexp_matches(sentence, '\\d%')::INT), 6) AS pct FROM v_sample_1m_core WHERE section_name IS NOT NULL AND sentence IS NOT NULL GROUP BY 1")
+@query(f"SELECT section_name, count(*) AS n, {', '.join(f"round(avg(regexp_matches(sentence, '{_RE2(p)}')::INT), 6) AS {n}" for n, p in mining.SIGNALS.items())} FROM v_sample_1m_core WHERE section_name IS NOT NULL AND sentence IS NOT NULL GROUP BY 1")
 def signal_rates(spark, d):
-    r = mining.signal_rates(table(spark, d, "v_sample_1m_core"), "section_name", "sentence", {"amount": r"\$\s?\d", "pct": r"\d%"})
-    return r.withColumns({c: F.round(c, 6) for c in ("amount", "pct")})
+    r = mining.signal_rates(table(spark, d, "v_sample_1m_core"), "section_name", "sentence")
+    return r.withColumns({c: F.round(c, 6) for c in mining.SIGNALS})
 
 
-@query()
+_TERMS = """d AS (SELECT section_name AS section, sentenceID AS doc, regexp_extract_all(lower(sentence), '([a-z0-9_]{2,})') AS w FROM s WHERE section_name IS NOT NULL),
+tf AS (SELECT section, doc, term, count(*) AS tf FROM (SELECT section, doc, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM d) GROUP BY 1, 2, 3),
+sz AS (SELECT section, count(DISTINCT doc) AS n FROM d GROUP BY 1), dfs AS (SELECT section, term, count(*) AS df FROM tf GROUP BY 1, 2),
+ws AS (SELECT section, doc, term, n, tf * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN dfs USING (section, term) JOIN sz USING (section) WHERE df >= 5 AND df <= n * 0.6),
+nw AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY section, doc)) AS x FROM ws), sc AS (SELECT section, term, round(sum(x) / any_value(n), 9) AS score FROM nw GROUP BY 1, 2),
+top AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY score DESC, term)::INT AS rank FROM sc QUALIFY rank <= 15)"""
+
+
+@query(f"WITH {_CORE}, {_TERMS} SELECT section, term, score, rank FROM top")
 def tfidf_ngrams(spark, d):
     return mining.tfidf_terms(_core(spark, d), "section_name", "sentenceID", "sentence")
 
 
-@query()
+@query(f"WITH {_CORE}, {_TERMS}, h(label, hint) AS (VALUES ('risk', 'may'), ('risk', 'risk'), ('results', 'million'), ('results', 'grew'), ('results', 'fell'), ('outlook', 'management'), ('outlook', 'would')), g AS (SELECT section, label, count(*) AS hits FROM top JOIN h ON contains(term, hint) GROUP BY 1, 2) SELECT section, label, hits FROM g QUALIFY row_number() OVER (PARTITION BY section ORDER BY hits DESC, label) = 1")
 def section_labels(spark, d):
     hints = {"risk": ["may", "risk"], "results": ["million", "grew", "fell"], "outlook": ["management", "would"]}
     return mining.suggest_labels(mining.tfidf_terms(_core(spark, d), "section_name", "sentenceID", "sentence"), hints)
@@ -583,11 +612,36 @@ def question_entities(spark, d):
     return ent.question_entities(table(spark, d, "p3_gold_p3v3_new10"), table(spark, d, "sec_company_tickers"), 2025)
 
 
-@query()
+_TERMS_OF = lambda t: f"list_filter(list_transform(list_distinct(regexp_extract_all(lower({t}), '([\\p{{L}}\\p{{N}}$%.,]{{3,}})')), lambda x: regexp_replace(x, '[.,]+$', '')), lambda x: length(x) >= 3 AND x NOT IN ({', '.join(map(repr, evaluation._STOP))}))"  # noqa: E731, SLF001
+_SHARE = lambda t: f"CASE WHEN len({t}) > 0 THEN len(list_filter({t}, lambda x: contains(low, x)))::DOUBLE / len({t}) ELSE 1.0::DOUBLE END"
+
+
+def _answered(spark, d):
+    """(question_id, question, truth, facts, response): a gold answer, its items, and the evidence it cites as the response."""
+    g = table(spark, d, "p3_gold_p3v3_new10").groupBy("question_id").agg(F.min("question_text").alias("question"), F.min("answer_text").alias("truth"))
+    core = table(spark, d, "v_sample_1m_core").groupBy(F.upper(F.trim("sentenceID")).alias("id")).agg(F.min("sentence").alias("sentence"))
+    cited = table(spark, d, "p3_gold_p3v3_new10").select("question_id", F.explode("evidence_sentence_ids").alias("id")).select("question_id", F.upper(F.trim("id")).alias("id")).distinct()
+    response = cited.join(core, "id").where("sentence is not null").groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "sentence"))), lambda x: x["sentence"]), " ").alias("response"))
+    facts = F.when(F.col("truth").isNull(), F.array().cast("array<string>")).otherwise(F.split("truth", "; "))
+    return g.join(response, "question_id", "left").withColumn("facts", facts)
+
+
+@query(f"""WITH g AS (SELECT question_id, min(question_text) AS question, min(answer_text) AS truth FROM p3_gold_p3v3_new10 GROUP BY 1), core AS (SELECT upper(trim(sentenceID)) AS id, min(sentence) AS sentence FROM v_sample_1m_core GROUP BY 1),
+cited AS (SELECT DISTINCT question_id, upper(trim(id)) AS id FROM (SELECT question_id, unnest(evidence_sentence_ids) AS id FROM p3_gold_p3v3_new10)), resp AS (SELECT question_id, string_agg(sentence, ' ' ORDER BY id) AS response FROM cited JOIN core USING (id) WHERE sentence IS NOT NULL GROUP BY 1),
+j AS (SELECT *, lower(coalesce(response, '')) AS low, CASE WHEN truth IS NULL THEN []::VARCHAR[] ELSE string_split(truth, '; ') END AS facts FROM g LEFT JOIN resp USING (question_id)),
+k AS (SELECT *, trim(low) <> '' AS said, len(string_split_regex(trim(low), '\\s+')) AS n, {_TERMS_OF('truth')} AS tt, {_TERMS_OF('question')} AS qt FROM j),
+f AS (SELECT *, CASE WHEN said THEN CASE WHEN len(facts) > 0 THEN list_sum(list_transform(facts, lambda f: CASE WHEN contains(low, lower(f)) THEN 1.0::DOUBLE WHEN len({_TERMS_OF('f')}) > 0 AND {_SHARE(_TERMS_OF('f'))} >= 0.7 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END)) / len(facts) ELSE 1.0::DOUBLE END ELSE 0.0::DOUBLE END AS factual,
+CASE WHEN said THEN {_SHARE('tt')} ELSE 0.0::DOUBLE END AS completeness, CASE WHEN said THEN least(1.0::DOUBLE, {_SHARE('qt')} + CASE WHEN length(response) < 1000 THEN 0.1::DOUBLE ELSE 0 END) ELSE 0.0::DOUBLE END AS relevance,
+CASE WHEN said THEN CASE WHEN n < 50 THEN n / 50.0::DOUBLE WHEN n <= 300 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - (n - 300) / 700.0::DOUBLE) END ELSE 0.0::DOUBLE END AS conciseness FROM k)
+SELECT question_id, round(factual, 6) AS factual, round(completeness, 6) AS completeness, round(relevance, 6) AS relevance, round(conciseness, 6) AS conciseness, round(factual * 0.4 + completeness * 0.3 + relevance * 0.2 + conciseness * 0.1, 6) AS overall FROM f WHERE truth IS NOT NULL AND question IS NOT NULL""")
 def answer_scores(spark, d):
-    q = table(spark, d, "p3_gold_p3v3_new10").dropDuplicates(["question_id"]).withColumn("facts", F.coalesce("section_hints", F.array().cast("array<string>")))
-    s = evaluation.answer_scores(q, "question_text", "answer_text", "question_text", "facts")
-    return s.select("question_id", "factual", "completeness", "relevance", "conciseness", "overall", "passed", evaluation.rouge_l("answer_text", "question_text").alias("rouge_l"))
+    s = evaluation.answer_scores(_answered(spark, d).where("truth is not null and question is not null"), "question", "response", "truth", "facts")
+    return s.select("question_id", *(F.round(c, 6).alias(c) for c in ("factual", "completeness", "relevance", "conciseness", "overall")))
+
+
+@query()
+def rouge_scores(spark, d):
+    return _answered(spark, d).select("question_id", evaluation.rouge_l("response", "truth").alias("rouge_l"))
 
 
 @query("SELECT event_type AS model_id, count(*) AS n, CAST(count(CASE WHEN event_type = 'error' THEN 1 END) AS BIGINT) AS n_errors, CAST(sum(user_id) AS BIGINT) AS tokens, round(sum(value), 4) AS cost, round(avg(value), 6) AS avg_ms, max(value) AS max_ms FROM events GROUP BY 1")

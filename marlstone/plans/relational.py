@@ -94,7 +94,7 @@ def having_filter(spark, d):
 
 @query("""SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS names, list(n_nationkey ORDER BY n_nationkey) AS ids FROM nation GROUP BY 1""")
 def string_and_list_aggregates(spark, d):
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.listagg("n_name", F.lit(", ")).alias("x"), F.array_sort(F.collect_list("n_name")).alias("s"), F.array_sort(F.collect_list("n_nationkey")).alias("ids")).select("n_regionkey", F.array_join("s", ", ").alias("names"), "ids")
+    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.expr("listagg(n_name, ', ') WITHIN GROUP (ORDER BY n_name)").alias("names"), F.array_sort(F.collect_list("n_nationkey")).alias("ids"))
 
 
 @query("""SELECT cik_int, list(DISTINCT t ORDER BY t) AS all_tickers FROM (SELECT cik_int, unnest(tickers) AS t FROM v_sample_1m_core) WHERE t IS NOT NULL GROUP BY 1""")
@@ -124,16 +124,16 @@ def semi_join(spark, d):
     return table(spark, d, "orders").join(table(spark, d, "customer").where("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_totalprice")
 
 
-@query("""SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL""")
+@query("""SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' WHERE o_orderkey IS NULL""")
 def anti_join(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderpriority = '1-URGENT'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
-@query("""SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 45) AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity < 2)""")
+@query("""SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000) AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '5-LOW')""")
 def exists_filter(spark, d):
-    s, li = table(spark, d, "supplier"), table(spark, d, "lineitem")
-    has = lambda c, how: lambda x: x.join(li.where(c).select("l_suppkey"), F.col("s_suppkey") == F.col("l_suppkey"), how)
-    return s.transform(has("l_quantity > 45", "left_semi")).transform(has("l_quantity < 2", "left_anti")).select("s_suppkey")
+    o = table(spark, d, "orders")
+    has = lambda c, how: lambda x: x.join(o.where(c).select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), how)
+    return table(spark, d, "customer").select("c_custkey").transform(has("o_totalprice > 100000", "left_semi")).transform(has("o_orderpriority = '5-LOW'", "left_anti"))
 
 
 @query("""SELECT n_name FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')""")
@@ -174,10 +174,10 @@ def array_membership_join(spark, d):
     return v.join(table(spark, d, "sec_company_tickers").select("cik", "ticker").distinct(), "ticker").select("cik_int", "cik").distinct()
 
 
-@query("""SELECT l.l_orderkey, l.l_linenumber, l.l_quantity, p.p_brand FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN supplier s ON s.s_suppkey = l.l_suppkey AND s.s_nationkey = p.p_size % 25 WHERE l.l_quantity >= 49""")
+@query("""SELECT l.l_orderkey, l.l_linenumber, l.l_quantity, p.p_brand FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN supplier s ON s.s_suppkey = l.l_suppkey AND s.s_nationkey = p.p_size % 25""")
 def composite_key_join(spark, d):
     li, p, s = (table(spark, d, x) for x in ("lineitem", "part", "supplier"))
-    j = li.where("l_quantity >= 49").join(p.withColumn("nk", F.col("p_size") % 25), li.l_partkey == p.p_partkey).join(s, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("nk") == F.col("s_nationkey")))
+    j = li.join(p.withColumn("nk", F.col("p_size") % 25), li.l_partkey == p.p_partkey).join(s, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("nk") == F.col("s_nationkey")))
     return j.select("l_orderkey", "l_linenumber", "l_quantity", "p_brand")
 
 
@@ -225,9 +225,9 @@ def key_overlap(spark, d):
     return table(spark, d, "v_sample_1m_core").select("sentenceID").intersect(table(spark, d, "sentence_removals").select("sentenceID"))
 
 
-@query("""SELECT cik_int FROM v_sample_1m_core EXCEPT SELECT cik FROM sec_company_tickers""")
+@query("""SELECT cik FROM sec_company_tickers EXCEPT SELECT cik_int FROM v_sample_1m_core""")
 def key_difference(spark, d):
-    return table(spark, d, "v_sample_1m_core").select("cik_int").subtract(table(spark, d, "sec_company_tickers").select("cik"))
+    return table(spark, d, "sec_company_tickers").select("cik").subtract(table(spark, d, "v_sample_1m_core").select("cik_int"))
 
 
 @query("""SELECT doc_id, upper(substr(source, 1, 5)) AS head, length(text) AS n, length(text) - length(replace(text, ' ', '')) + 1 AS n_words, lpad(CAST(doc_id AS VARCHAR), 10, '0') AS padded, md5(concat(CAST(doc_id AS VARCHAR), coalesce(source, ''))) AS row_hash,
@@ -289,20 +289,19 @@ def full_outer_schema_diff(spark, d):
     return merge.schema_diff(a, b)
 
 
-@query()
+@query("""SELECT row_number() OVER () AS ordinal, column_name, replace(replace(replace(replace(replace(replace(column_type, 'BIGINT', 'bigint'), 'VARCHAR', 'string'), 'DOUBLE', 'double'), 'TIMESTAMP WITH TIME ZONE', 'timestamp'), 'INTEGER', 'int'), '[]', '[]') AS data_type FROM (DESCRIBE SELECT * FROM p3_gold_p3v3_new10)""")
 def table_schema(spark, d):
-    return merge.schema_rows(table(spark, d, "p3_gold_p3v3_new10"))
+    s = merge.schema_rows(table(spark, d, "p3_gold_p3v3_new10"))
+    return s.select(F.col("ordinal").cast("long").alias("ordinal"), "column_name", F.regexp_replace("data_type", "^array<(.*)>$", "$1[]").alias("data_type"))
 
 
 @query()
 def parquet_footers(spark, d):
-    import glob
-    import os
+    from urllib.parse import unquote
 
     from marlstone.sources.formats import footers, row_group_summary
 
-    path = f"{d}/lineitem.parquet"
-    return row_group_summary(footers(spark, sorted(glob.glob(f"{path}/*.parquet")) if os.path.isdir(path) else [path]))
+    return row_group_summary(footers(spark, sorted(map(unquote, table(spark, d, "lineitem").inputFiles()))))
 
 
 @query("""SELECT CAST(o_orderkey AS BIGINT) AS key, CAST(o_custkey AS INTEGER) AS cust, CAST(NULL AS VARCHAR) AS note, 'load' AS method FROM orders""")

@@ -61,16 +61,18 @@ def filing_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, row_group, n_rows, n_bytes) of Parquet files, read by tasks, one file each."""
+    """(path, row_group, n_rows, n_bytes) of Parquet files, read by tasks, one file each; paths may be URIs of any file system."""
 
     def meta(rows):
         import pandas as pd
         import pyarrow.parquet as pq
+        from pyarrow import fs
 
         for pdf in rows:
             out = []
             for p in pdf["path"]:
-                m = pq.ParquetFile(p.removeprefix("file://")).metadata
+                where, at = fs.FileSystem.from_uri(p) if ":/" in p else (fs.LocalFileSystem(), p)
+                m = pq.ParquetFile(where.open_input_file(at)).metadata
                 out += [(p, i, m.row_group(i).num_rows, m.row_group(i).total_byte_size) for i in range(m.num_row_groups)]
             yield pd.DataFrame(out, columns=["path", "row_group", "n_rows", "n_bytes"])
 
@@ -116,28 +118,41 @@ def preflight(spark: SparkSession, paths: Sequence[str]) -> None:
         raise FileNotFoundError("missing inputs: " + ", ".join(missing))
 
 
+def _move(fs, a, b) -> None:
+    """A rename that raises where Hadoop only says false."""
+    if not fs.rename(a, b):
+        raise OSError(f"cannot move {a} to {b}")
+
+
 def replace(df: DataFrame, path: str, archive: str | None = None, most_backups: int = 5, now: datetime.datetime | None = None) -> None:
-    """Writes beside the path, moves what is there to the archive under its time and the new table into its place.
+    """Writes beside the path, moves what is there aside and the new table into its place, as two renames.
 
-    Of the backups the most_backups latest stay. A failure before the last move leaves the old table where it was.
+    The old table goes to the archive under its time, of which the most_backups latest stay, or is deleted once the new
+    one is in place. If the second rename fails the old table is moved back. Readers see no table between the renames.
     """
     spark = df.sparkSession
     fs, target = _fs(spark, path)
     fresh = f"{path.rstrip('/')}.new"
     write_parquet(df, fresh)
-    new = _fs(spark, fresh)[1]
+    new, old = _fs(spark, fresh)[1], None
     if fs.exists(target):
+        stamp = (now or datetime.datetime.now(datetime.timezone.utc)).strftime("%Y%m%dT%H%M%S%f")
         if archive:
-            stamp = (now or datetime.datetime.now(datetime.timezone.utc)).strftime("%Y%m%dT%H%M%S%f")
-            folder = _fs(spark, archive)[1]
-            fs.mkdirs(folder)
-            fs.rename(target, _fs(spark, f"{archive.rstrip('/')}/{stamp}.parquet")[1])
-            names = sorted(s.getPath().toString() for s in fs.listStatus(folder))
-            for n in names[: max(0, len(names) - most_backups)]:
-                fs.delete(_fs(spark, n)[1], True)
-        else:
-            fs.delete(target, True)
-    fs.rename(new, target)
+            fs.mkdirs(_fs(spark, archive)[1])
+        old = _fs(spark, f"{archive.rstrip('/')}/{stamp}.parquet" if archive else f"{path.rstrip('/')}.{stamp}.old")[1]
+        _move(fs, target, old)
+    try:
+        _move(fs, new, target)
+    except Exception:
+        if old is not None:
+            _move(fs, old, target)
+        raise
+    if old is not None and not archive:
+        fs.delete(old, True)
+    if archive and fs.exists(_fs(spark, archive)[1]):
+        names = sorted(s.getPath().toString() for s in fs.listStatus(_fs(spark, archive)[1]))
+        for n in names[: max(0, len(names) - most_backups)]:
+            fs.delete(_fs(spark, n)[1], True)
 
 
 def put_batches(rows: DataFrame, send: Callable[[list], None], most_rows: int = 500, most_bytes: int = 20 << 20, tries: int = 4, wait: float = 0.5) -> DataFrame:

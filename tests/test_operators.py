@@ -270,3 +270,52 @@ def test_search_and_filter_passes_over_copies(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, query array<double>")
     got = vectors.search_and_filter(v, q, 3, attributes, F.lit(True), 1.0, "text")
     assert [r["id"] for r in got.orderBy("rank").collect()] == [0, 100, 101]
+
+
+def test_near_words_lose_none(spark):
+    from marlstone.operators import entities
+
+    names = ["microsoft", "internationalbusiness", "weyerhaeuser", "supercalifragilistic", "abcdefghijklmn"]
+    words = ["microsotf", "mcirosoft", "internationalbusines", "xnternationalbusinesy", "intrnatonalbusiness", "weyerhauser", "upercalifragilisticx", "xbcdefghijklmy", "unrelated", "abcd"]
+    got = {tuple(r) for r in entities._near_words(spark.createDataFrame([(w,) for w in words], "w string"), spark.createDataFrame([(n,) for n in names], "first string"), 0.85).collect()}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    want = {(w, n) for w in words for n in names if w != n and 1 - edits(w, n) / max(len(w), len(n)) >= 0.85}
+    assert got == want and ("xbcdefghijklmy", "abcdefghijklmn") in want
+
+
+def test_simhash_is_that_of_single_texts(spark):
+    from marlstone.operators import mining
+
+    texts = ["Revenue grew by 12% in 2019.", "", None, "abcd", "abcde", "x" * 5000, "Revenue  grew by 12% in 2019. "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = dict(map(tuple, df.select("i", mining.simhash("t")).collect()))
+    assert got[0] == got[6] != 0 and got[1] == got[2] == got[3] == 0 and got[4] != 0
+    assert all(int(mining._simhashes([" ".join((t or "").lower().split()).encode()])[0]) == got[i] for i, t in enumerate(texts))
+
+
+def test_alias_sum_and_search(spark):
+    from marlstone.operators import kpi
+
+    f = spark.createDataFrame([("a", 1, "Cash", 2.0), ("a", 1, " cash ", 3.0), ("a", 1, "Debt", 4.0), ("a", 2, "Cash", None), ("b", None, "Cash", 1.0)], "e string, y int, label string, v double")
+    assert {tuple(r) for r in kpi.sum_by_alias(f, "e", "y", "label", "v", ["cash", "Debt"], "s").collect()} == {("a", 1, 7.0), ("a", 2, None)}
+    g = spark.createDataFrame([("Current Ratio",), ("Quick ratio",), ("Debt",), (None,)], "metric string")
+    assert [r[0] for r in kpi.search(g, "RATIO", n=1).collect()] == ["Quick ratio"] and kpi.search(g, "ratio").count() == 2
+
+
+def test_batches_by_group(spark):
+    from pyspark.sql import functions as F
+
+    from marlstone.operators import vectors
+
+    df = spark.createDataFrame([(i, None if i == 3 else 40 if i != 5 else 500) for i in range(10)], "k long, t long")
+    got = {r["key"]: r["batch"] for r in vectors.greedy_batches(df, "k", "t", 3, 100, group=F.floor(F.col("k") / 6)).collect()}
+    assert got == {0: "0-0", 1: "0-0", 2: "0-1", 3: "0-1", 4: "0-1", 5: None, 6: "1-0", 7: "1-0", 8: "1-1", 9: "1-1"}
