@@ -1,9 +1,9 @@
 """Defective answers: empty, refusal, copies_question, other_language or truncated, at most one of them each.
 
-A pushdown parser follows fences, brackets, quotations and markup and shows what is still open at the end; JSON lists
-are read as their items. Greedy string tiling measures how much of an answer is its question. Function words and
-scripts give the languages. A grammar of openings and cores tells a refusal of the answerer from a filing that reports
-an inability. An answer that ends without a mark is compared with how the collection's sentences end: whether its last
+A pushdown parser follows fences, brackets, lists, quotations and markup and shows what is still open at the end; whole
+JSON lists are read as their items. Greedy string tiling measures how much of an answer is its question. Function words
+and scripts give the languages. A grammar of openings, subjects, verb phrases and objects tells a refusal of the
+answerer from a filing that reports an inability. An answer that ends without a mark is compared with how the collection's sentences end: whether its last
 word occurs elsewhere, ever ends a clause, and at what distance from the last function word sentences end.
 """
 
@@ -23,7 +23,7 @@ from marlstone.llm.quality import EVERY_FUNCTION_WORD, FUNCTION_WORDS
 
 # Answers without content.
 PLACEHOLDERS = frozenset("null nil nan n/a na n.a tbd tba tbc todo pending placeholder unanswered xxx blank empty undefined".split()) | {
-    "no answer", "not available", "not applicable", "to be determined", "to be done", "to be confirmed", "to be announced", "no response", "no data", "answer missing", "missing answer", "left blank", "insert answer here", "answer here", "your answer",
+    "no answer", "no reply", "not available", "not applicable", "to be determined", "to be done", "to be confirmed", "to be announced", "no response", "no data", "answer missing", "missing answer", "left blank", "insert answer here", "answer here", "your answer",
     "keine angabe", "k.a", "k. a", "sans réponse", "sin respuesta", "sem resposta", "s/r",
 }
 # Words after which an English, French, German, Spanish or Portuguese phrase goes on.
@@ -42,28 +42,44 @@ _WEIGHT = {lang: {w: 1 / _SHARED[w] for w in ws} for lang, ws in FUNCTION_WORDS.
 _WORDS = re.compile(r"[^\W_]+(?:[-'’.,][^\W_]+)*")
 _YES_NO = re.compile(r"\W*(?:yes|no|oui|non|ja|nein|sí|si|sim|não|true|false)\b", re.I)
 
-_LEAD = re.compile(
-    r"\W*(?:(?:i\W?m|i am|we\W?re) (?:very |so |truly |afraid|terribly )?(?:sorry)?(?: to say)?(?:,? but)?|sorry|apologies|my apologies|unfortunately|regrettably|i apologi[sz]e|(?:many )?thanks? (?:you )?(?:very much )?for (?:the|your|this) (?:question|request|query|message)|as an? (?:[\w-]+ ){0,3}(?:assistant|model|ai)|hello|hi|well|i regret(?: to say)?(?: that)?|i understand|please note(?: that)?|however|at this time|but|désolée?|lo siento|leider|es tut mir leid|desculpe|lamento|malheureusement|lamentablemente|infelizmente)(?![\w])[\s,;:.!–—-]*",
+# What may stand before a refusal, as words; * is any one word.
+LEADS = [
+    x.split()
+    for x in "i am sorry|i am very sorry|i am so sorry|i am truly sorry|i am afraid|we are sorry|we are afraid|sorry|very sorry|so sorry|to say|apologies|my apologies|our apologies|i apologize|i apologise|unfortunately|regrettably|i regret to say|i regret|i regret that|thank you|thanks|many thanks|thank you very much|for the question|for your question|for this question|for the request|for your request|for the query|for your query|for your message|for the message|"
+    "as an ai|as an ai model|as an ai assistant|as an ai language model|as a * model|as a * assistant|as an * assistant|as a * language model|as a large language model|as an assistant|as a model|hello|hi|well|i understand|please note|please note that|however|at this time|at present|but|and|that|je suis désolé|je suis désolée|désolé|désolée|lo siento|leider|es tut mir leid|desculpe|lamento|malheureusement|lamentablemente|infelizmente|mi dispiace".split("|")
+    if x
+]
+_LEADS: dict[str, list[list[str]]] = {}
+for _x in sorted(LEADS, key=len, reverse=True):
+    _LEADS.setdefault(_x[0], []).append(_x)
+# The classes of the refusal grammar's words.
+ADVERBS = frozenset("really simply currently personally just respectfully politely kindly also therefore still unfortunately regrettably hereby honestly".split())
+MODALS, BE, DO = frozenset("can could will would may shall should might".split()), frozenset("am is are was were be been".split()), frozenset("do does did".split())
+DECLINES = frozenset("decline declines declined refuse refuses refused abstain refrain pass".split())
+UNABLE, WILLING = frozenset("unable unwilling incapable".split()), frozenset("able allowed permitted authorized authorised going comfortable equipped qualified prepared willing".split())
+REPLIES = frozenset("answer respond reply assist help comply comment advise address discuss".split())
+GIVES, GIFTS = frozenset("provide give offer share supply make".split()), frozenset("answer answers response reply assessment advice opinion assistance help comment".split())
+KNOWS, KNOWLEDGE = frozenset("have know possess see find answer".split()), frozenset("access information answer way knowledge means".split())
+REQUESTS = frozenset("question questions request requests query queries topic topics subject matter message prompt one".split())
+POINTERS = frozenset("this that it these those your you such the to with on in as because since due without from at regarding about any further".split())
+MACHINES = frozenset("system assistant model service bot chatbot tool".split())
+SAYS = frozenset("said says stated states told added noted wrote reported warned explained remarked according".split())
+# The same in other languages, as patterns of an opening.
+ABROAD = re.compile(
+    r"\W*(?:je (?:ne (?:peux|puis|suis|dispose|sais)|suis (?:dans l\W?incapacité|incapable|au regret))|ich (?:kann|darf|bin)[^.]{0,60}(?:nicht|leider|keine)|(?:das|dies) kann ich (?:leider )?nicht|(?:yo )?no (?:puedo|me es posible|dispongo|tengo acceso|estoy)|(?:eu )?não (?:posso|consigo|tenho acesso|estou|me é possível)|non posso)",
     re.I,
 )
-_CANNOT = r"(?:can ?not|can\W?t|could not|couldn\W?t|will not|won\W?t|would rather not|(?:am|\W?m) (?:un(?:able|willing)|not (?:able|allowed|permitted|authori[sz]ed|in a position|going|comfortable|equipped|qualified))|(?:must|have to|need to|would|shall|\W?ll have to)? ?(?:respectfully |politely )?(?:decline|refuse|pass on|abstain|refrain)|do(?: not|n\W?t) (?:have|know|possess|answer|see|find)|have no (?:access|information|answer|way|knowledge)|lack (?:access|the))"
-_CORE = re.compile(
-    rf"\W*(?:i (?:really |simply |currently |personally |do |just )?{_CANNOT}"
-    rf"|i{_CANNOT}"
-    r"|we (?:can ?not|can\W?t|are (?:unable|not able) to|must decline to|do not|won\W?t) (?:answer|assist|help with|respond|provide an answer|comply)"
-    r"|no (?:answer|response|reply|assessment) (?:can|could|may|will) be (?:given|provided|offered|made)"
-    r"|(?:answering|responding to|assisting with|addressing|discussing) (?:this|that|it|your)[^.]{0,40}(?:is|would be) (?:not|beyond|outside|im)"
-    r"|(?:this|that|the|your) (?:request|question|topic|query|subject|matter)s? (?:falls?|is|lies|goes) (?:outside|beyond|not something|out of)"
-    r"|it is (?:not possible|impossible) for me|that is (?:not something|something) i can(?:not|\W?t)?"
-    r"|(?:this|the) (?:system|assistant|model|service) (?:can ?not|can\W?t|is (?:unable|not able)|will not|does not)"
-    r"|je (?:ne (?:peux|puis|suis|dispose|sais)|suis (?:dans l\W?incapacité|incapable|au regret))|ich (?:kann|darf|bin)[^.]{0,60}(?:nicht|leider|keine)|(?:das|dies) kann ich (?:leider )?nicht|(?:yo )?no (?:puedo|me es posible|dispongo|tengo acceso|estoy)|(?:eu )?não (?:posso|consigo|tenho acesso|estou|me é possível)|non posso)",
-    re.I,
-)
-_ASKED = re.compile(r"^\W*(?:the question(?: (?:is|was|asked))?|question|q|you (?:asked|ask|want to know|are asking)|asked|query|prompt|frage|pregunta|pergunta|la question|instruction)\s*[:.,–—-]*\s*(?=\S)|\W*\b(?:answer|a|response|antwort|respuesta|resposta|réponse)\s*:?\s*$", re.I)
+_STEP = re.compile(r"[^\W\d_]+|\d+|[.!?;:,\"“”–—-]")
+# Contracted forms.
+SHORT = {"cannot": ("can", "not"), "can't": ("can", "not"), "won't": ("will", "not"), "don't": ("do", "not"), "doesn't": ("does", "not"), "didn't": ("did", "not"), "couldn't": ("could", "not"), "wouldn't": ("would", "not"), "i'm": ("i", "am"), "we're": ("we", "are"), "i'll": ("i", "will"), "we'll": ("we", "will"), "i'd": ("i", "would"), "i've": ("i", "have"), "isn't": ("is", "not"), "aren't": ("are", "not"), "that's": ("that", "is"), "it's": ("it", "is")}
+_CONTRACTED = re.compile("|".join(sorted((k.replace("'", "['’ʼ]") for k in SHORT), key=len, reverse=True)))
+_ASKED = re.compile(r"\W*(?:the question(?: (?:is|was|asked))?|question|q|you (?:asked|ask|want to know|are asking)|asked|query|prompt|frage|pregunta|pergunta|la question|instruction)\s*[:.,–—-]*\s*(?=\S)", re.I)
+_SO = re.compile(r"\W*\b(?:answer|a|response|antwort|respuesta|resposta|réponse)\s*:?\s*$", re.I)
+_SO_ENDS = ("answer", "a", "response", "antwort", "respuesta", "resposta", "réponse")
 _AMOUNT = re.compile(r"\d\s*(?:%|percent|per cent|prozent|pour cent|por ciento|por cento|(?:hundred|thousand|million|billion|trillion)s?(?: (?:dollars|euros?|usd|eur))?|bps|basis points|shares|dollars|euros?|usd|eur|years?|[kmb])?$", re.I)
 _OPENERS, _CLOSERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}, set(")]}”»")
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)[^<>]*?(/?)>|<[a-zA-Z/!][^<>]*$")
-_MARK = re.compile(r"[<\"()\[\]{}“”„«»]")
+_MARK = re.compile(r"```|\\\\.|[<\"()\[\]{}“”„«»]", re.S)
 _VOID = {"br", "hr", "img", "input", "meta", "link", "p", "li", "td", "tr", "th"}
 
 
@@ -74,7 +90,7 @@ def items(answer: str) -> tuple[list[str], bool]:
         try:
             v = json.loads(s)
         except ValueError:
-            return [s], s[:2] in ('["', "[\n") or s[:1] == "[" and '"' in s[:6]
+            return [s], s[:1] == "[" and '"' in s[:6] and "]" in still_open(s) or s[:2] in ('["', "[\n")
         flat, out = [v], []
         while flat:
             x = flat.pop(0)
@@ -91,12 +107,18 @@ def items(answer: str) -> tuple[list[str], bool]:
 def still_open(text: str) -> list[str]:
     """What a pushdown parser still expects at the end: closers of brackets, quotations, fences and markup."""
     stack: list[str] = []
-    if text.count("```") % 2:
-        return ["```"]
     i = 0
     while m := _MARK.search(text, i):
-        i = m.start()
-        c = text[i]
+        i, c = m.start(), m[0]
+        if c == "```":  # within a fence nothing else is read
+            end = text.find("```", i + 3)
+            if end < 0:
+                return [*stack, "```"]
+            i = end + 3
+            continue
+        if c[0] == "\\":
+            i = m.end()
+            continue
         if c == "<":
             m = _TAG.match(text, i)
             if m and m[2] is None:
@@ -127,19 +149,171 @@ def still_open(text: str) -> list[str]:
     return stack
 
 
+class _Clause:
+    """A reader of the refusal grammar over the words and marks of a text's opening sentences."""
+
+    def __init__(self, words: list[str]):
+        self.w, self.i = words, 0
+
+    def at(self, k: int = 0) -> str:
+        return self.w[self.i + k] if self.i + k < len(self.w) else ""
+
+    def take(self, *classes) -> bool:
+        """Reads one word of each class in turn, adverbs between them, or nothing."""
+        start = self.i
+        for c in classes:
+            while self.at() in ADVERBS and self.at() not in c:
+                self.i += 1
+            if self.at() not in c or not self.at():
+                self.i = start
+                return False
+            self.i += 1
+        return True
+
+    def leads(self) -> int:
+        """Reads openings and the marks after them; how many there were."""
+        n = 0
+        while n < 8:
+            fit = next((x for x in _LEADS.get(self.at(), ()) if len(x) <= len(self.w) - self.i and all(a in ("*", b) for a, b in zip(x, self.w[self.i : self.i + len(x)]))), None)
+            if fit is None:
+                break
+            self.i += len(fit)
+            n += 1
+            while self.at() and self.at() in ",:-–—":
+                self.i += 1
+        return n
+
+    def stops(self) -> bool:
+        return not self.at() or self.at() in ".!?;,:-–—\"”"
+
+    def sentence(self) -> list[str]:
+        end = next((k for k in range(self.i, len(self.w)) if self.w[k] in ".!?;"), len(self.w))
+        return self.w[self.i : end]
+
+    def reported(self) -> bool:
+        """Whether the sentence goes on to name another as its speaker: ", the chairman said" or "according to"."""
+        rest = self.sentence()
+        marks = [k for k, x in enumerate(rest) if x in ',"”']
+        return bool(marks) and any(x in SAYS for x in rest[marks[-1] :][:7])
+
+    def request(self) -> bool:
+        """An object that is what was asked, or none; "answer for" means to be accountable."""
+        if self.stops():
+            return True
+        if self.at() == "for":
+            return False
+        return self.at() in POINTERS or self.at() in REQUESTS
+
+    def reply(self) -> bool:
+        """answer ..., help with ..., provide an answer ..."""
+        if self.take({"be"}, WILLING | UNABLE) and self.at() == "to" or self.at() == "to":
+            self.take({"to"})
+        if self.take(REPLIES):
+            return self.request()
+        if self.take(GIVES):
+            self.take({"an", "a", "any", "the", "you", "that", "this", "such"})
+            self.take({"with"})
+            self.take({"an", "a", "any", "the", "that", "this"})
+            return self.at() in GIFTS
+        return False
+
+    def inability(self) -> bool:
+        """can not, am unable to, must decline to, do not have, have no access: the verb phrase of one who declines."""
+        for before in ((MODALS, {"not"}), (BE, UNABLE), (BE, {"not"}, WILLING), (BE, {"not"}, {"in"}, {"a"}, {"position"}), (DO, {"not"}, KNOWS), ({"have"}, {"no"}, KNOWLEDGE), ({"lack"}, {"access", "the"}), ({"would"}, {"rather"}, {"not"})):
+            if self.take(*before):
+                return True
+        self.take({"must", "would", "will", "shall", "have", "need"})
+        self.take({"have"})
+        self.take({"to"})
+        return self.take(DECLINES)
+
+    def subject(self) -> str:
+        if self.take({"i"}):
+            return "i"
+        if self.take({"we"}):
+            return "we"
+        start = self.i
+        if self.take({"this", "the"}):
+            for _ in range(3):
+                if self.take(MACHINES):
+                    return "machine"
+                self.i += 1
+        self.i = start
+        return ""
+
+    def topic(self) -> bool:
+        """this question falls outside ..., answering it would be beyond ..., no answer can be given, it is not possible for me"""
+        if self.take({"no"}, GIFTS, MODALS, {"be"}, {"given", "provided", "offered", "made"}):
+            return True
+        if self.take({"it"}, BE):
+            return (self.take({"not"}, {"possible"}) or self.take({"impossible"})) and self.take({"for"}, {"me"})
+        if self.take({"that", "this"}, BE):
+            self.take({"not"})
+            if self.take({"something"}, {"i"}, {"can"}):
+                return True
+            return self.take({"outside", "beyond"})
+        if self.take({"answering", "responding", "assisting", "addressing", "discussing", "helping"}):
+            rest = self.sentence()
+            k = next((k for k, x in enumerate(rest) if x in BE), None)
+            return bool(rest) and rest[0] in POINTERS and k is not None and any(x in ("not", "beyond", "outside", "impossible") for x in rest[k : k + 3])
+        if self.take({"this", "that", "the", "your"}):
+            return self.take(REQUESTS, {"falls", "fall", "is", "lies", "goes"}) and self.at() in ("outside", "beyond", "out", "not")
+        return False
+
+    def elliptic(self) -> bool:
+        """Declined to answer. Unable to help with this."""
+        if not (self.take(DECLINES) or self.take({"not"}, WILLING) or self.take(UNABLE) or self.take({"can", "could", "will"}, {"not"})):
+            return False
+        return self.reply() and (len(self.sentence()) < 12)
+
+    def declines(self) -> bool:
+        start = self.i
+        who = self.subject()
+        if who and self.inability():
+            if self.reported():
+                return False
+            if who == "i":
+                return not (self.at() == "answer" and self.at(1) == "for")
+            return who == "machine" or self.reply()
+        self.i = start
+        if self.topic():
+            return True
+        self.i = start
+        return self.elliptic()
+
+
+def _opening(text: str) -> list[list[str]]:
+    """The words and marks of the first sentences, contracted forms written out."""
+    sentences, own = [], []
+    low = _CONTRACTED.sub(lambda m: " ".join(SHORT[m[0].replace("’", "'").replace("ʼ", "'")]), text.lower())
+    for m in _STEP.finditer(low):
+        own.append(m[0])
+        if m[0] in ".!?;":
+            sentences.append(own)
+            own = []
+            if len(sentences) == 3:
+                return sentences
+    return [*sentences, own] if own else sentences
+
+
 def refuses(text: str) -> bool:
-    """Whether the answerer declines: openings, then a core, in the first or, after a bare opening, the next sentence."""
-    s, n = text.strip().lstrip("\"'“”*_>- "), 0
-    while n < 5:
-        m = _LEAD.match(s)
-        if not m or not m.end():
-            break
-        s, n = s[m.end() :], n + 1
-    m = _CORE.match(s)
-    if m:
+    """Whether the answerer declines: openings, then a declining clause, in the first or, after a bare opening, the next sentence."""
+    s = text.strip().lstrip("\"'“”*_>- ")
+    if ABROAD.match(s):
         return True
-    first = re.split(r"(?<=[.!?;])\s+", s, maxsplit=1)
-    return len(first) == 2 and n > 0 and len(first[0]) < 60 and _CORE.match(first[1]) is not None and not any(c.isdigit() for c in first[0])
+    opening = _opening(s)
+    for k, words in enumerate(opening):
+        c = _Clause(words)
+        n = c.leads()
+        if c.declines():
+            return True
+        bare = c.stops() or n > 0 and len(" ".join(words)) < 60 and not any(w.isdigit() for w in words)
+        if not bare:
+            break
+    for lead in ("désolé", "lo siento", "leider", "es tut mir leid", "desculpe", "lamento", "malheureusement", "infelizmente", "je suis"):
+        if s.lower().startswith(lead) and ABROAD.match(re.sub(r"^[^,.;:]*[,.;:]\s*", "", s)):
+            return True
+    return False
 
 
 def tiled(answer: list[str], question: list[str], least: int = 2) -> float:
@@ -186,7 +360,11 @@ def copies(question: str, answer: str) -> bool:
         return False
     s = answer.strip()
     for _ in range(3):
-        s = _ASKED.sub("", s).strip()
+        m = _ASKED.match(s)
+        s = s[m.end() :] if m else s
+        if s.rstrip().removesuffix(":").rstrip().lower().endswith(_SO_ENDS):
+            s = _SO.sub("", s)
+        s = s.strip()
     a, q = [w.lower() for w in _WORDS.findall(s)], [w.lower() for w in _WORDS.findall(question)]
     if len(a) < 3 or len(q) < 3:
         return bool(a) and a == q
@@ -201,19 +379,47 @@ def copies(question: str, answer: str) -> bool:
     return share >= 0.8 and back >= 0.5 and len(new) <= 1
 
 
+_BY_WORD: dict[str, list[tuple[str, float]]] = {}
+for _lang, _ws in _WEIGHT.items():
+    for _w, _x in _ws.items():
+        _BY_WORD.setdefault(_w, []).append((_lang, _x))
+_LETTERS = re.compile(r"[^\W\d_]+")
+_SCRIPTS = (("cyrillic", "Ѐ", "ԯ"), ("greek", "Ͱ", "Ͽ"), ("hebrew", "֐", "׿"), ("arabic", "؀", "ۿ"), ("devanagari", "ऀ", "ॿ"), ("thai", "฀", "๿"), ("hangul", "가", "힣"), ("kana", "぀", "ヿ"), ("han", "一", "鿿"))
+_PLAIN_DE, _PLAIN_FR = re.compile(r"ung\b|keit\b"), re.compile(r"eaux?\b|\bl'|\bd'|\bqu'")
+
+
+def cues(lang: str, text: str) -> int:
+    """How many of a language's spellings a text has; texts of ASCII alone take a shorter way to the same number."""
+    if not text.isascii():
+        return len(_CUE[lang].findall(text))
+    t = text.lower()
+    if lang == "pt":
+        return t.count("lh") + t.count("nh")
+    if lang == "es":
+        return t.count("ll") + t.count("ciones")
+    if lang == "de":
+        return t.count("sch") + (len(_PLAIN_DE.findall(t)) if "ung" in t or "keit" in t else 0)
+    return len(_PLAIN_FR.findall(t)) if "'" in t or "eau" in t else 0
+
+
 @lru_cache(maxsize=8192)
 def language(text: str) -> tuple[str | None, float, float]:
     """(language, its score, the score of the next) by function words and spellings; a script other than Latin is its own."""
-    letters = [c for c in text if c.isalpha()]
-    if not letters:
+    words = _LETTERS.findall(text.lower())
+    if not words:
         return None, 0.0, 0.0
-    for name, low, high in () if max(letters) < "Ͱ" else (("cyrillic", "Ѐ", "ԯ"), ("greek", "Ͱ", "Ͽ"), ("hebrew", "֐", "׿"), ("arabic", "؀", "ۿ"), ("devanagari", "ऀ", "ॿ"), ("thai", "฀", "๿"), ("hangul", "가", "힣"), ("kana", "぀", "ヿ"), ("han", "一", "鿿")):
-        if sum(low <= c <= high for c in letters) > 0.5 * len(letters):
-            return name, 10.0, 0.0
-    words = [w.lower() for w in re.findall(r"[^\W\d_]+", text)]
-    score = {lang: sum(ws.get(w, 0.0) for w in words) for lang, ws in _WEIGHT.items()}
-    for lang, cue in _CUE.items():
-        score[lang] += 0.25 * len(cue.findall(text)) * (score[lang] > 0)
+    if not text.isascii() and max(text) >= "Ͱ":
+        letters = "".join(words)
+        for name, low, high in _SCRIPTS:
+            if sum(low <= c <= high for c in letters) > 0.5 * len(letters):
+                return name, 10.0, 0.0
+    score = dict.fromkeys(_WEIGHT, 0.0)
+    for w in words:
+        for lang, x in _BY_WORD.get(w, ()):
+            score[lang] += x
+    for lang in _CUE:
+        if score[lang] > 0:
+            score[lang] += 0.25 * cues(lang, text)
     best = sorted(score, key=score.get, reverse=True)
     return (best[0], score[best[0]], score[best[1]]) if score[best[0]] > 0 else (None, 0.0, 0.0)
 
@@ -225,7 +431,7 @@ def other_language(question: str, answer: str) -> bool:
     if a is None or q is None or a == q or high < 1.0 or len(_WORDS.findall(answer)) < 4:
         return False
     words = [w.lower() for w in re.findall(r"[^\W\d_]+", answer)]
-    own = sum(_WEIGHT.get(q, {}).get(w, 0.0) for w in words) + (0.25 * len(_CUE[q].findall(answer)) if q in _CUE else 0)
+    own = sum(_WEIGHT.get(q, {}).get(w, 0.0) for w in words) + (0.25 * cues(q, answer) if q in _CUE else 0)
     return sure >= next_ and high > 1.3 * own
 
 
@@ -300,6 +506,19 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _TOKENS = re.compile(r"([^\W_]+(?:[-'’.,][^\W_]+)*)([^\w\s]?)")
 
 
+class _Keys(dict):
+    """Words in lower case, # for those with digits; what has been seen lately is kept."""
+
+    def __missing__(self, w: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        k = self[w] = "#" if any(map(str.isdigit, w)) else w.lower()
+        return k
+
+
+_key, _CLOSE = _Keys(), frozenset('.;:!?,"”')
+
+
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of a task: each word's uses and its uses before a mark, and the skeletons of sentence ends."""
     seen: Counter = Counter()
@@ -314,13 +533,14 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            for text in [q or "", *(items(a)[0] if a else [])]:
+            texts = items(a)[0] if a else []
+            for text in [q or "", *texts]:
                 found = _TOKENS.findall(text)
                 if text.rstrip()[-1:].isalnum() and found:
                     found.pop()  # its end is what is in question
-                seen.update(w.lower() if not any(map(str.isdigit, w)) else "#" for w, _ in found)
-                ends.update(w.lower() if not any(map(str.isdigit, w)) else "#" for w, m in found if m in (".", ";", ":", "!", "?", ",", '"', "”"))
-            for text in items(a)[0] if a else []:
+                seen.update([_key[w] for w, _ in found])
+                ends.update([_key[w] for w, m in found if m and m in _CLOSE])
+            for text in texts:
                 for s in re.findall(r"[^.!?]*(?:\.(?=\S)[^.!?]*)*[.!?](?=\s|$)", text):
                     words = _WORDS.findall(s)
                     if len(words) > 1:
