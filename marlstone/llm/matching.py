@@ -26,6 +26,8 @@ _CLASS = re.compile(r"(?:[\s,-]+(?:CL(?:ASS)?|SER(?:IES)?)\.?[\s-]*[A-K]|[\s,-]+
 _STATE = re.compile(r"\s*[/\\](?:NEW|ADR|FI|[A-Z]{2,4})[/\\]?\s*$|\s*\((?:THE|NEW)\)\s*")
 #: Tickers go out of date and are mixed up, so unlike ones say less than like ones; a missing one counts 0.5.
 UNLIKE = 0.35
+#: Pairs whose name, holding and company similarities have this mean start as matches.
+ALIKE = 0.85
 DIMENSIONS = ("name", "holding", "company", "ticker", "legal")
 
 
@@ -92,7 +94,7 @@ def alike(h: str, c: str) -> float:
     return 0.0
 
 
-def vector(ht: list[str], hw: list[float], h_ticker: str | None, h_legal: str, ct: list[str], cw: list[float], c_tickers: list[str], c_legal: str) -> list[float]:
+def vector(ht: list[str], hw: list[float], h_tickers: list[str], h_legal: str, ct: list[str], cw: list[float], c_tickers: list[str], c_legal: str) -> list[float]:
     """The similarities of DIMENSIONS for one candidate pair."""
     order = sorted(range(len(ct)), key=lambda i: -cw[i])
     used, got, sure = set(), 0.0, 0.0
@@ -107,8 +109,8 @@ def vector(ht: list[str], hw: list[float], h_ticker: str | None, h_legal: str, c
     sure = sum(w for j, w in enumerate(hw) if j in used)
     all_h, all_c = sum(hw), sum(cw)
     ticker = 0.5
-    if h_ticker and c_tickers:
-        ticker = 1.0 if any(h_ticker == t or (h_ticker[:1] == "Z" and h_ticker[-1:] == "Q" and h_ticker[1:-1] == t) or (len(h_ticker) == len(t) + 1 and h_ticker[:-1] == t) for t in c_tickers) else UNLIKE
+    if h_tickers and c_tickers:
+        ticker = 1.0 if any(h == t or (h[:1] == "Z" and h[-1:] == "Q" and h[1:-1] == t) or (len(h) == len(t) + 1 and h[:-1] == t) for h in h_tickers for t in c_tickers) else UNLIKE
     legal = 0.5 if not h_legal or not c_legal else float(h_legal == c_legal)
     return [name, sure / all_h if all_h else 0.0, got / all_c if all_c else 0.0, ticker, legal]
 
@@ -138,12 +140,19 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Mixture:
-    """Two Gaussians and the share of matches; covariances carry ridge on their diagonal."""
+    """Two Gaussians and the share of matches; covariances carry ridge on their diagonal.
+
+    The first M step takes pairs for matches whose three name similarities are ALIKE on the mean, so the means and
+    covariances come from the data from the start; rounds and converged tell how the fit ended.
+    """
 
     def __init__(self, ridge: float = 0.01):
-        self.share, self.ridge = 0.1, ridge
-        self.mean = np.array([[0.95, 0.95, 0.85, 0.7, 0.7], [0.6, 0.4, 0.4, 0.35, 0.4]])
-        self.cov = np.array([np.eye(5) * 0.03, np.eye(5) * 0.08])
+        self.share, self.ridge, self.rounds, self.converged = 0.1, ridge, 0, False
+        self.mean, self.cov = np.zeros((2, 5)), np.array([np.eye(5), np.eye(5)])
+
+    @staticmethod
+    def first(x: np.ndarray) -> np.ndarray:
+        return (x[:, :3].mean(axis=1) >= ALIKE).astype(float)
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         out = []
@@ -162,7 +171,7 @@ class Mixture:
         return e / (np.repeat(np.add.reduceat(e, heads), size) + np.exp(-top))
 
     def dominates(self, x: np.ndarray) -> np.ndarray:
-        """Gaussians overlap at their tails; a pair whose name lies nearer the unmatched mean in both name dimensions is no match."""
+        """Gaussians cross again at their tails; a pair that lies nearer the unmatched mean in either name dimension is held down."""
         mid = (self.mean[0] + self.mean[1]) / 2
         return (x[:, 0] >= mid[0]) & (x[:, 1] >= mid[1])
 
@@ -204,38 +213,36 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
+_SUMS = [f"s{i}" for i in range(62)]
+
+
 def fit(pairs: DataFrame, rounds: int = 25) -> Mixture:
-    """Expectation-maximisation over pairs, which stand sorted by holding within their partitions."""
+    """Expectation-maximisation over pairs, which stand sorted by holding within their partitions; 62 sums come back a round."""
     model = Mixture()
-    for _ in range(rounds):
+    for k in range(rounds):
 
-        def step(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+        def step(batches: Iterator[pa.RecordBatch], model=model, begin=k == 0) -> Iterator[pa.RecordBatch]:
             total = np.zeros((2, 31))
             for t in _whole(batches):
                 x = _matrix(t)
-                g = model.posterior(x, _heads(t.column("hid").to_pylist()))
-                for k, w in enumerate((g, 1 - g)):
-                    total[k] += np.r_[w.sum(), w @ x, ((x * w[:, None]).T @ x).ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["k", "sums"])
-
-        got = pairs.mapInArrow(step, "k int, sums array<double>").select("k", F.posexplode("sums")).groupBy("k", "pos").agg(F.sum("col").alias("s")).collect()  # 62 rows
-        s = np.zeros((2, 31))
-        for r in got:
-            s[r["k"], r["pos"]] = r["s"]
+                g = model.first(x) if begin else model.posterior(x, _heads(t.column("hid").to_pylist()))
+                for i, w in enumerate((g, 1 - g)):
+                    total[i] += np.r_[w.sum(), w @ x, ((x * w[:, None]).T @ x).ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total.ravel().tolist()], names=_SUMS)
+
+        got = pairs.mapInArrow(step, ", ".join(f"{c} double" for c in _SUMS)).agg(*(F.sum(c) for c in _SUMS)).first()
+        s = np.array([v or 0.0 for v in got]).reshape(2, 31)
         before = model.mean.copy()
-        model.update([tuple((s[k, 0], s[k, 1:6], s[k, 6:].reshape(5, 5)) for k in range(2))])
-        if np.abs(model.mean - before).max() < 1e-4:
+        model.update([tuple((s[i, 0], s[i, 1:6], s[i, 6:].reshape(5, 5)) for i in range(2))])
+        model.rounds, model.converged = k + 1, bool(np.abs(model.mean - before).max() < 1e-4)
+        if model.converged:
             break
     return model
 
 
-def match(companies: DataFrame, holdings: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(cik, identifier, confidence): pairs whose posterior reaches the threshold, each once.
-
-    companies has cik, ticker, company_name, holdings identifier, ticker, company_name, both with repeated rows.
-    A holding or company of several spellings counts with each. Null names have no tokens and match nothing.
-    """
-    spark = companies.sparkSession
+def candidates(companies: DataFrame, holdings: DataFrame) -> DataFrame:
+    """(cid, hid, keyed, similarities): the pairs that are compared, each once with its best spellings, sorted by holding
+    within partitions and persisted; keyed tells those that share a rare token, a ticker or the whole name."""
     rows = lambda df, key: df.select(F.col(key).cast("string").alias("id"), F.col("company_name").alias("name"), "ticker").where("id is not null and name is not null").distinct().mapInArrow(_named, "id string, tokens array<string>, legal string, ticker string")
     one = rows(companies, "cik").where("size(tokens) > 0").groupBy("id", "tokens", "legal").agg(F.collect_set("ticker").alias("tickers"))
     two = rows(holdings, "identifier").where("size(tokens) > 0").groupBy("id", "tokens", "legal").agg(F.collect_set("ticker").alias("tickers"))
@@ -257,11 +264,20 @@ def match(companies: DataFrame, holdings: DataFrame, threshold: float = 0.5) ->
     linked = met(a.where("key not like 'f %'"), b, True).union(met(bare(a, "ck"), b, False)).union(met(a, bare(b, "hk"), False))
     linked = linked.groupBy("ck", "hk").agg(F.max("keyed").alias("keyed"))
     c = one.select(F.col("k").cast("string").alias("ck"), F.col("id").alias("cid"), F.col("tokens").alias("ct"), F.col("weights").alias("cw"), F.col("tickers").alias("c_tickers"), F.col("legal").alias("c_legal"))
-    h = two.select(F.col("k").cast("string").alias("hk"), F.col("id").alias("hid"), F.col("tokens").alias("ht"), F.col("weights").alias("hw"), F.element_at(F.concat(F.array_sort("tickers"), F.array(F.lit(None).cast("string"))), 1).alias("h_ticker"), F.col("legal").alias("h_legal"))
-    pairs = linked.join(c, "ck").join(h, "hk").select("cid", "hid", "ht", "hw", "h_ticker", "h_legal", "ct", "cw", "c_tickers", "c_legal", "keyed")
+    h = two.select(F.col("k").cast("string").alias("hk"), F.col("id").alias("hid"), F.col("tokens").alias("ht"), F.col("weights").alias("hw"), F.col("tickers").alias("h_tickers"), F.col("legal").alias("h_legal"))
+    pairs = linked.join(c, "ck").join(h, "hk").select("cid", "hid", "ht", "hw", "h_tickers", "h_legal", "ct", "cw", "c_tickers", "c_legal", "keyed")
     vectors = pairs.mapInArrow(_vectors, "cid string, hid string, keyed boolean, " + ", ".join(f"{d} double" for d in DIMENSIONS))
     best = vectors.groupBy("cid", "hid").agg(F.max(F.struct((F.col("name") + F.col("holding") + F.col("company")).alias("s"), *DIMENSIONS)).alias("b"), F.max("keyed").alias("keyed")).select("cid", "hid", "keyed", *(F.col(f"b.{d}").alias(d) for d in DIMENSIONS))
-    best = best.repartition("hid").sortWithinPartitions("hid", "cid").persist(StorageLevel.MEMORY_AND_DISK)
+    return best.repartition("hid").sortWithinPartitions("hid", "cid").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def match(companies: DataFrame, holdings: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(cik, identifier, confidence): pairs whose posterior reaches the threshold, each once.
+
+    companies has cik, ticker, company_name, holdings identifier, ticker, company_name, both with repeated rows.
+    A holding or company of several spellings counts with each. Null names have no tokens and match nothing.
+    """
+    best = candidates(companies, holdings)
     keyed = best.where("keyed")
     model = fit(keyed if keyed.take(1) else best)
 

@@ -3,7 +3,9 @@
 A text is cut into segments: its lines, with hard-wrapped lines joined again. A segment's tokens fall into classes
 (function word, other word, number, separator, bullet, sentence end, garbled, unconnected word); its distribution over
 them is compared with fixed structural profiles by Jensen-Shannon divergence and the nearest profile names it. The
-kind that holds most of the characters is the text's kind; a text that mostly repeats itself is junk.
+kind that holds most of the characters is the text's kind; a text that mostly repeats itself is junk. The function words
+of the whole text are compared with the profile of each language in the same way; what looks like prose but is near
+none of them, as letters set apart are, is junk.
 """
 
 from __future__ import annotations
@@ -54,6 +56,16 @@ _P = np.array([[p.get(c, 0.0) for c in CLASSES] for _, p in PROFILES])
 _P = (_P + 1e-4) / (_P + 1e-4).sum(axis=1, keepdims=True)
 _KIND = np.array([KINDS.index(k) for k, _ in PROFILES])
 
+#: The function words of every language, and how each language's prose spreads over them: by rank, as 1 / (rank + 2).
+_VOCABULARY = {w: i for i, w in enumerate(sorted(EVERY_FUNCTION_WORD))}
+_LANGUAGES = np.zeros((len(FUNCTION_WORDS), len(_VOCABULARY)))
+for _k, _ws in enumerate(FUNCTION_WORDS.values()):
+    for _r, _w in enumerate(dict.fromkeys(_ws)):
+        _LANGUAGES[_k, _VOCABULARY[_w]] = 1 / (_r + 3)
+_LANGUAGES /= _LANGUAGES.sum(axis=1, keepdims=True)
+#: Texts of fewer function words are not held against the languages; n of them may diverge by FAR + 1 / sqrt(n) bits.
+LEAST_FUNCTION_WORDS, FAR = 20, 0.5
+
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’./&][^\W\d_]+)*")
 _NUMBER = re.compile(r"[-+~]?[$€£¥]?[-+]?\d[\d.,:/\-]*(?:%|[kKmMbB]|st|nd|rd|th)?")
 _SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~•·–—“”‘’…€£�"
@@ -107,6 +119,19 @@ class _Classes(dict):
 
 
 _class_of = _Classes()
+
+
+class _Places(dict):
+    """Places of tokens seen lately in the vocabulary of function words, its length for others."""
+
+    def __missing__(self, t: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        k = self[t] = _VOCABULARY.get(t.lstrip(_OPEN).rstrip(_CLOSE).lower(), len(_VOCABULARY))
+        return k
+
+
+_place_of = _Places()
 _ITEM = re.compile(r"\s*(?:[•·‣▪◦●○*–—-]|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)]|(?:Note|Exhibit|Schedule|Annex|Appendix|Item|Section|Part)\s+[\dA-Z][\w.]*)\s+")
 
 
@@ -189,9 +214,11 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, dict]:
         words += toks
     if tags:
         counts[-1, GARBLED], sizes[-1] = tags / 6, tags
+    places = np.bincount([_place_of[t] for t in words], minlength=len(_VOCABULARY) + 1)[:-1] if words else np.zeros(len(_VOCABULARY))
     n = len(words)
     letters = sum(map(len, words))
     return counts, sizes, {
+        "places": places,
         "n_words": n,
         "mean_word_length": letters / n if n else 0.0,
         "symbol_ratio": sum(map(text.count, _SYMBOLS)) / len(text) if text else 0.0,
@@ -210,7 +237,20 @@ def divergences(counts: np.ndarray) -> np.ndarray:
     return 0.5 * (p[:, None, :] * np.log2(p[:, None, :] / m)).sum(axis=2) + 0.5 * (_P[None] * np.log2(_P[None] / m)).sum(axis=2)
 
 
-STATS = "doc_id long, n_chars_found long, n_words long, mean_word_length double, symbol_ratio double, ended_lines double, short_lines double, common_words double, distinct_grams double, prose_divergence double, prose_share double, table_share double, list_share double, junk_share double, text_kind string"
+def language_divergences(places: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergence in bits of each row of function word counts from the nearest language; nan without any."""
+    n = places.sum(axis=1, keepdims=True)
+    p = places / np.maximum(n, 1)
+    out = np.full(len(p), np.inf)
+    for q in _LANGUAGES:
+        m = (p + q) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = 0.5 * np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1) + 0.5 * np.where(q > 0, q * np.log2(q / m), 0).sum(axis=1)
+        out = np.minimum(out, d)
+    return np.where(n[:, 0] > 0, out, np.nan)
+
+
+STATS = "doc_id long, n_chars_found long, n_words long, mean_word_length double, symbol_ratio double, ended_lines double, short_lines double, common_words double, distinct_grams double, prose_divergence double, language_divergence double, prose_share double, table_share double, list_share double, junk_share double, text_kind string"
 _NAMES = ("n_words", "mean_word_length", "symbol_ratio", "ended_lines", "short_lines", "common_words", "distinct_grams")
 
 
@@ -227,9 +267,14 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.concatenate([g[0] for g in got])
             d = divergences(counts)
             kind = np.where(counts[:, :8].sum(axis=1) > 0, _KIND[d.argmin(axis=1)], -1)
-            for t, g, e in zip(some, got, ends):
+            places = np.stack([g[2]["places"] for g in got])
+            foreign, n_places = language_divergences(places), places.sum(axis=1)
+            for t, g, e, far, n in zip(some, got, ends, foreign.tolist(), n_places.tolist()):
                 s = e - len(g[0])
                 shares = np.array([g[1][kind[s:e] == k].sum() for k in range(4)])
+                if n >= LEAST_FUNCTION_WORDS and far > FAR + n**-0.5:
+                    shares[3] += shares[0]
+                    shares[0] = 0
                 total = shares.sum()
                 whole = divergences(g[0].sum(axis=0, keepdims=True))[0]
                 shares = shares / total if total else np.zeros(4)
@@ -237,10 +282,10 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 f = g[2]
                 if f["n_words"] >= 9 and f["distinct_grams"] < 0.3:
                     said = "junk"
-                rows.append((len(t or ""), *(f[k] for k in _NAMES), float(whole[_KIND == 0].min()), *map(float, shares), said))
+                rows.append((len(t or ""), *(f[k] for k in _NAMES), float(whole[_KIND == 0].min()), None if far != far else far, *map(float, shares), said))
         if rows:
             columns = list(zip(*rows))
-            types = [pa.int64(), pa.int64(), *[pa.float64()] * 11, pa.string()]
+            types = [pa.int64(), pa.int64(), *[pa.float64()] * 12, pa.string()]
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))], names=[x.split()[0] for x in STATS.split(", ")])
 
 

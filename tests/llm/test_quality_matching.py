@@ -27,6 +27,18 @@ def test_kinds(text, kind):
     assert b.column("text_kind").to_pylist() == [kind]
 
 
+def test_letters_set_apart_are_near_no_language():
+    import numpy as np
+    import pyarrow as pa
+
+    german = "Der Konzern erklärt den Rückgang durch die Zinsen und die Leitung erwartet für das Jahr mit dem neuen Werk keine Änderung. " * 3
+    texts = ["     ".join(" ".join(w) for w in (PROSE * 2).split()), PROSE * 3, german]
+    (b,) = quality._stats(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], names=["a", "b"])]))
+    assert b.column("text_kind").to_pylist() == ["junk", "prose", "prose"]
+    far = b.column("language_divergence").to_pylist()
+    assert far[0] > 0.7 > max(far[1:]) and np.isnan(quality.language_divergences(np.zeros((1, len(quality._VOCABULARY))))).all()
+
+
 def test_statistics_of_a_table(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(KINDS)] + [(99, "word " * 100_000), (99, None)], "doc_id long, text string")
     got = quality.text_statistics(df).collect()
@@ -90,3 +102,62 @@ def test_names_without_a_rare_token_are_matched(spark):
     h = h.union(spark.createDataFrame([("E", None, "FIRST NATOINAL"), ("F", None, "Bancorp")], h.schema))
     got = {x["identifier"] for x in matching.match(c, h, threshold=0.0).select("identifier").collect()}
     assert {"E", "F"} <= got
+
+
+def test_a_pair_near_in_one_name_dimension_only_is_held_down():
+    import numpy as np
+
+    m = matching.Mixture()
+    m.mean = np.array([[0.98, 1.0, 0.95, 0.9, 0.8], [0.6, 0.3, 0.3, 0.5, 0.3]])
+    m.cov = np.array([np.eye(5) * 0.03, np.eye(5) * 0.08])
+    m.share = 0.8
+    x = np.array([[1.0, 0.4, 0.5, 1.0, 1.0], [0.5, 1.0, 1.0, 1.0, 1.0], [0.97, 0.95, 0.9, 1.0, 1.0]])
+    assert m.dominates(x).tolist() == [False, False, True]
+    assert (m.posterior(x, np.arange(3)) >= 0.5).tolist() == [False, False, True]
+
+
+def test_every_ticker_of_a_holding_counts():
+    v = matching.vector(["ACME"], [2.0], ["AAA", "ZZZ"], "", ["ACME"], [2.0], ["ZZZ"], "")
+    assert v[3] == 1.0 and matching.vector(["ACME"], [2.0], ["AAA"], "", ["ACME"], [2.0], ["ZZZ"], "")[3] == matching.UNLIKE
+    assert matching.vector(["ACME"], [2.0], [], "", ["ACME"], [2.0], ["ZZZ"], "")[3] == 0.5
+
+
+def test_candidates_hold_what_all_pairs_give(spark):
+    """Every pair of company and holding that the fitted mixture takes for a match is among the candidates, but for 1 % at most."""
+    import math
+    import os
+    from collections import defaultdict
+
+    import numpy as np
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    comp, hold = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("sec_company_tickers", "spy_holdings_15oct"))
+    best = matching.candidates(comp, hold)
+    model = matching.fit(best.where("keyed"))
+    have = {(r["cid"], r["hid"]) for r in best.select("cid", "hid").collect()}
+
+    def named(df, key):
+        out = defaultdict(set)
+        for r in df.where(f"{key} is not null and company_name is not null").collect():
+            toks, legal = matching.normal_name(r["company_name"])
+            if toks:
+                out[str(r[key]), tuple(toks), legal].add(matching.ticker_root(r["ticker"]))
+        return {k: sorted(t for t in v if t) for k, v in out.items()}
+
+    c, h = named(comp, "cik"), named(hold, "identifier")
+    df = defaultdict(set)
+    for i, toks, _ in c:
+        for t in toks:
+            df[t].add((i, toks))
+    total = len({k[0] for k in c})
+    weight = lambda toks: [math.log(1 + total / (len({x for x in df.get(t, ())}) + 1)) for t in toks]
+    found = set()
+    for (hid, ht, hl), h_tickers in h.items():
+        rows = [((cid, hid), matching.vector(list(ht), weight(ht), h_tickers, hl, list(ct), weight(ct), c_tickers, cl)) for (cid, ct, cl), c_tickers in c.items()]
+        g = model.posterior(np.array([v for _, v in rows]), np.array([0]))
+        found |= {k for (k, _), p in zip(rows, g) if p >= 0.5}
+    share = len(found & have) / len(found)
+    print(f"candidates hold {share:.4f} of {len(found)} matches over all {len(c) * len(h)} pairs")
+    assert share >= 0.99 and len(found) > 40
