@@ -131,7 +131,18 @@ class _Places(dict):
         return k
 
 
-_place_of = _Places()
+class _Hex(dict):
+    """Whether tokens seen lately are pairs of hexadecimal digits."""
+
+    def __missing__(self, t: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        k = self[t] = _HEX.fullmatch(t) is not None
+        return k
+
+
+_place_of, _is_hex = _Places(), _Hex()
+_BEYOND = re.compile(r"[^\x00-\x7f]")
 _ITEM = re.compile(r"\s*(?:[•·‣▪◦●○*–—-]|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)]|(?:Note|Exhibit|Schedule|Annex|Appendix|Item|Section|Part)\s+[\dA-Z][\w.]*)\s+")
 
 
@@ -169,7 +180,7 @@ def segments(text: str) -> list[str]:
 
 def tokens(s: str) -> list[str]:
     """The tokens of a segment; cells of a delimited row come apart."""
-    digits = sum(c.isdigit() for c in s)
+    digits = sum(map(s.count, "0123456789")) + (0 if s.isascii() else sum(map(str.isdigit, _BEYOND.findall(s))))
     if ("|" in s or "\t" in s or ";" in s or s.count(",") >= 2) and (digits > 0.2 * len(s) or s[:1] in ",;|\t" or (s.count("-") + digits > 0.12 * len(s) and len(s.split()) <= 8)):
         return [x for x in re.split(r"[\s|;,]+", s) if x] + ["|"] * (s.count("|") + s.count("\t") + s.count(";"))
     return s.split()
@@ -187,7 +198,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, dict]:
         toks = tokens(s)
         items = _ITEM.match(s)
         codes = bytes([_class_of[t] for t in toks])
-        if len(toks) >= 6 and sum(_HEX.fullmatch(t) is not None for t in toks) > 0.8 * len(toks) and any(c.isalpha() for t in toks for c in t):
+        if len(toks) >= 6 and sum([_is_hex[t] for t in toks]) > 0.8 * len(toks) and any(c.isalpha() for t in toks for c in t):
             codes = bytes([GARBLED] * len(toks))
         c = counts[i]
         for k in range(9):
@@ -239,15 +250,16 @@ def divergences(counts: np.ndarray) -> np.ndarray:
 
 def language_divergences(places: np.ndarray) -> np.ndarray:
     """Jensen-Shannon divergence in bits of each row of function word counts from the nearest language; nan without any."""
-    n = places.sum(axis=1, keepdims=True)
-    p = places / np.maximum(n, 1)
-    out = np.full(len(p), np.inf)
-    for q in _LANGUAGES:
-        m = (p + q) / 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = 0.5 * np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1) + 0.5 * np.where(q > 0, q * np.log2(q / m), 0).sum(axis=1)
-        out = np.minimum(out, d)
-    return np.where(n[:, 0] > 0, out, np.nan)
+    n = places.sum(axis=1)
+    i, j = np.nonzero(places)
+    p = places[i, j] / n[i]
+    out = np.full(len(places), np.inf)
+    for q in _LANGUAGES:  # a word that the text lacks adds half its share of the profile
+        qj = q[j]
+        m = (p + qj) / 2
+        d = p * np.log2(p / m) + np.where(qj > 0, qj * np.log2(np.maximum(qj, 1e-300) / m), 0) - qj
+        out = np.minimum(out, 0.5 * (1 + np.bincount(i, d, minlength=len(places))))
+    return np.where(n > 0, out, np.nan)
 
 
 STATS = "doc_id long, n_chars_found long, n_words long, mean_word_length double, symbol_ratio double, ended_lines double, short_lines double, common_words double, distinct_grams double, prose_divergence double, language_divergence double, prose_share double, table_share double, list_share double, junk_share double, text_kind string"
@@ -267,22 +279,22 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.concatenate([g[0] for g in got])
             d = divergences(counts)
             kind = np.where(counts[:, :8].sum(axis=1) > 0, _KIND[d.argmin(axis=1)], -1)
+            wholes = divergences(np.stack([g[0].sum(axis=0) for g in got]))[:, _KIND == 0].min(axis=1).tolist()
             places = np.stack([g[2]["places"] for g in got])
             foreign, n_places = language_divergences(places), places.sum(axis=1)
-            for t, g, e, far, n in zip(some, got, ends, foreign.tolist(), n_places.tolist()):
+            for t, g, e, far, n, near in zip(some, got, ends, foreign.tolist(), n_places.tolist(), wholes):
                 s = e - len(g[0])
                 shares = np.array([g[1][kind[s:e] == k].sum() for k in range(4)])
                 if n >= LEAST_FUNCTION_WORDS and far > FAR + n**-0.5:
                     shares[3] += shares[0]
                     shares[0] = 0
                 total = shares.sum()
-                whole = divergences(g[0].sum(axis=0, keepdims=True))[0]
                 shares = shares / total if total else np.zeros(4)
                 said = KINDS[int(shares.argmax())] if total else "junk"
                 f = g[2]
                 if f["n_words"] >= 9 and f["distinct_grams"] < 0.3:
                     said = "junk"
-                rows.append((len(t or ""), *(f[k] for k in _NAMES), float(whole[_KIND == 0].min()), None if far != far else far, *map(float, shares), said))
+                rows.append((len(t or ""), *(f[k] for k in _NAMES), near, None if far != far else far, *map(float, shares), said))
         if rows:
             columns = list(zip(*rows))
             types = [pa.int64(), pa.int64(), *[pa.float64()] * 12, pa.string()]
