@@ -20,6 +20,10 @@ def p2_plan(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("row_name").alias("temporal_bin"), F.col("column").alias("section"), "needed", "available", "quota", "shortfall")
 
 
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return p2_plan(spark, d).select("temporal_bin", "section", "needed", "available", "shortfall")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_plan(spark, d).where("shortfall > 0").select("temporal_bin", "section")
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_plan": p2_plan,
+    "p2_report": p2_report,
     "p2_sample": p2_sample,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
@@ -104,6 +109,14 @@ SQL: dict[str, str] = {
 WITH have AS (SELECT {_KEY.format('temporal_bin')} AS b, section AS s, count(DISTINCT sentenceID) AS n FROM corpus_tagged WHERE section IS NOT NULL GROUP BY 1, 2)
 SELECT t.temporal_bin, t.section FROM sample_targets t CROSS JOIN params p LEFT JOIN have h ON h.b = {_KEY.format('t.temporal_bin')} AND h.s = t.section
 WHERE coalesce(h.n, 0) < greatest(floor(t.target_share * p.sample_size_n + 0.5), p.min_per_category)""",
+    "p2_report": f"""
+WITH have AS (SELECT {_KEY.format('temporal_bin')} AS b, section AS s, count(DISTINCT sentenceID) AS n FROM corpus_tagged WHERE section IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT t.temporal_bin, t.section, CAST(greatest(floor(t.target_share * p.sample_size_n + 0.5), p.min_per_category) AS BIGINT) AS needed, coalesce(h.n, 0) AS available FROM sample_targets t CROSS JOIN params p LEFT JOIN have h ON h.b = {_KEY.format('t.temporal_bin')} AND h.s = t.section)
+SELECT *, greatest(needed - available, 0) AS shortfall FROM t""",
+    # the cases do not depend on the tokenizer, so words and marks stand for tokens
+    "p7_found": f"""
+WITH have AS (SELECT {_KEY.format('source')} AS k, sum(len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]')))::DOUBLE AS n FROM documents WHERE regexp_matches(text, '[^\s\p{{Z}}]') GROUP BY 1)
+SELECT t.source FROM mix_targets t CROSS JOIN params p LEFT JOIN have h ON h.k = {_KEY.format('t.source')} WHERE coalesce(h.n, 0) * t.max_repeats < t.target_share * p.mix_budget_tokens""",
     "p3_found": """
 WITH s AS (SELECT DISTINCT sentenceID AS i, docID AS d, list_distinct(regexp_extract_all(lower(sentence), '[a-z0-9]+')) AS w FROM v_sample_1m_core WHERE sentence IS NOT NULL AND docID IS NOT NULL),
 big AS (SELECT i, d, w, len(w) AS n, row_number() OVER () AS k FROM s WHERE len(w) >= 12),
