@@ -46,21 +46,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
             ids, m, agree = sent.value
             m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
             kept: list = [[] for _ in ids]
+            asked_by = {} if agree is None else {s: np.array([a for a, t in enumerate(agree) if t == s]) for s in set(agree) if s is not None}
             for pdf in it:
                 pdf = pdf[pdf["v"].map(len) == m.shape[1]]
                 if not len(pdf):
                     continue
                 x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
                 norm = np.linalg.norm(x, axis=1)
-                d = 1 - (m @ x.T) / np.where(norm > 0, norm, np.nan)
-                i = pdf["i"].to_numpy()
-                for a in range(len(ids)):
-                    ok = ~np.isnan(d[a])
-                    if agree is not None:
-                        ok &= pdf["s"].to_numpy() == agree[a]
-                    j = np.flatnonzero(ok)
-                    j = j[np.lexsort((i[j], d[a, j]))[:k]]
-                    kept[a] = sorted(kept[a] + list(zip(d[a, j].tolist(), i[j].tolist())))[:k]
+                x, i = x[norm > 0] / norm[norm > 0, None], pdf["i"].to_numpy()[norm > 0]
+                if agree is None:
+                    blocks = [(np.arange(len(ids)), np.arange(len(x)))]
+                else:  # a query meets the vectors of its own group alone
+                    own = pdf["s"].to_numpy()[norm > 0]
+                    blocks = [(asked_by[s], np.flatnonzero(own == s)) for s in asked_by.keys() & set(own)]
+                for queries_at, rows_at in blocks:
+                    d = 1 - m[queries_at] @ x[rows_at].T
+                    for row, a in zip(d, queries_at):
+                        j = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.flatnonzero(~np.isnan(row))
+                        j = j[np.lexsort((i[rows_at[j]], row[j]))[:k]]
+                        kept[a] = sorted(kept[a] + list(zip(row[j].tolist(), i[rows_at[j]].tolist())))[:k]
             yield pd.DataFrame([(ids[a], i, d) for a in range(len(ids)) for d, i in kept[a]], columns=["query_id", "id", "distance"])
 
         return source.mapInPandas(score, f"query_id {dict(queries.dtypes)[query_id]}, id long, distance double")
