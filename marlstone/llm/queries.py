@@ -115,7 +115,7 @@ t AS (SELECT t.temporal_bin, t.section, CAST(greatest(floor(t.target_share * p.s
 SELECT *, greatest(needed - available, 0) AS shortfall FROM t""",
     # the cases do not depend on the tokenizer, so words and marks stand for tokens
     "p7_found": f"""
-WITH have AS (SELECT {_KEY.format('source')} AS k, sum(len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\\s]')))::DOUBLE AS n FROM documents WHERE regexp_matches(text, '[^\s\p{{Z}}]') GROUP BY 1)
+WITH have AS (SELECT {_KEY.format('source')} AS k, sum(len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\\s]')))::DOUBLE AS n FROM documents WHERE regexp_matches(text, '[^\\s\\p{{Z}}]') GROUP BY 1)
 SELECT t.source FROM mix_targets t CROSS JOIN params p LEFT JOIN have h ON h.k = {_KEY.format('t.source')} WHERE coalesce(h.n, 0) * t.max_repeats < t.target_share * p.mix_budget_tokens""",
     "p3_found": """
 WITH s AS (SELECT DISTINCT sentenceID AS i, docID AS d, list_distinct(regexp_extract_all(lower(sentence), '[a-z0-9]+')) AS w FROM v_sample_1m_core WHERE sentence IS NOT NULL AND docID IS NOT NULL),
